@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstream.llm import bpe, decontam, html_extract, license_scan, media
+from veilstream.llm import bpe, decontam, html_extract, license_scan, media, simhash
 from veilstream.llm.common import table
 from veilstream.llm.oracles import ORACLES
 
@@ -16,6 +16,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_blocks", "n_confirmed", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
@@ -36,6 +40,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_media_sniff": op9_media_sniff,
