@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstream.llm import bpe, decontam, html_extract, license_scan, lm_ppm, media, simhash
+from veilstream.llm import bpe, decontam, html_extract, langid, license_scan, lm_ppm, media, simhash
 from veilstream.llm.common import crc_remainder, table
 from veilstream.llm.oracles import ORACLES
 
@@ -21,6 +21,10 @@ def op2_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_ppm.score_documents(docs, crc_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 3) == 1)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_lm_ppm": op2_lm_ppm,
+    "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_bpe_codec": op8_bpe_codec,
