@@ -20,4 +20,21 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join words using (rid) left join items using (rid)
 """
 
-ORACLES: dict[str, str] = {"op10_decontaminate": OP10}
+OP5 = r"""
+with ordered as (select row_number() over () as rid, doc_id, text from documents),
+lines as (select rid, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from ordered where text is not null),
+masked as (select rid, doc_id, pos, regexp_replace(line, '[^ \t\r\f]*(?:[0-9@]|://)[^ \t\r\f]*', '<*>', 'g') as m from lines),
+tokens as (select rid, doc_id, pos, list_filter(regexp_split_to_array(m, '[ \t\r\f]+'), lambda x: x <> '') as t from masked where regexp_matches(replace(m, '<*>', ''), '\p{L}')),
+ids as (select rid, doc_id, pos, 'w' as kind, len(t) as n, t as key from tokens
+  union all select rid, doc_id, pos, 'a', len(t), t[1 : cast(ceil(len(t) / 2.0) as int)] from tokens where len(t) >= 24
+  union all select rid, doc_id, pos, 'b', len(t), t[cast(ceil(len(t) / 2.0) as int) + 1 : len(t)] from tokens where len(t) >= 24),
+found as (select kind, n, key, min(doc_id) as f from ids group by 1, 2, 3 having min(doc_id) < max(doc_id)),
+drops as (select distinct rid, pos from ids join found using (kind, n, key) where doc_id > f),
+kept as (select l.rid, string_agg(line, chr(10) order by l.pos) as text, count(*) as n from lines l left join drops d on l.rid = d.rid and l.pos = d.pos where d.rid is null group by 1)
+select doc_id, case when o.text is null then null else coalesce(k.text, '') end as text,
+       cast(coalesce(len(string_split(o.text, chr(10))), 0) as bigint) as n_lines,
+       cast(coalesce(len(string_split(o.text, chr(10))), 0) - coalesce(k.n, 0) as bigint) as n_dropped
+from ordered o left join kept k using (rid)
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op10_decontaminate": OP10}

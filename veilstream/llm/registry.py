@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstream.llm import bpe, decontam, html_extract, langid, license_scan, lm_ppm, media, simhash
+from veilstream.llm import bpe, decontam, html_extract, langid, license_scan, line_dedup, lm_ppm, media, simhash, url_gbt
 from veilstream.llm.common import crc_remainder, table
 from veilstream.llm.oracles import ORACLES
 
@@ -29,6 +29,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_gbt.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_blocks", "n_confirmed", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_ppm": op2_lm_ppm,
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_media_sniff": op9_media_sniff,
