@@ -192,3 +192,36 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     return with_hits(src, items, item_id, item_text).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>")
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_items: int = 2) -> DataFrame:
+    """docs without its contaminated rows; from other rows the words that an item's window hits are cut out.
+
+    The columns of docs stay as they are but for the text of a cut row, and n_chars, if docs has it, which counts it anew.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hits = batch.column("hits").to_pylist()
+            keep = [len({h["item"] for h in row if h["item"] is not None}) < least_items for row in hits]
+            struct = batch.column("doc_id")
+            columns = dict(zip(names, struct.flatten(), strict=True))
+            if any(row for row, yes in zip(hits, keep, strict=True) if yes):
+                texts = batch.column("text").to_pylist()
+                touched = [bool(row) for row in hits]
+                for k, row in enumerate(hits):
+                    if row and keep[k]:
+                        spans, at, parts = original_offsets(texts[k].encode(), merged([(h["start"], h["end"]) for h in row])), 0, []
+                        for a, b in spans:
+                            parts.append(texts[k][at:a])
+                            at = b
+                        texts[k] = "".join([*parts, texts[k][at:]])
+                columns[text_col] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    counts = columns["n_chars"].to_pylist()
+                    columns["n_chars"] = pa.array([len(t) if yes else n for t, yes, n in zip(texts, touched, counts, strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return with_hits(packed, items, item_id, item_text).mapInArrow(run, docs.schema)

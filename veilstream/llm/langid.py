@@ -177,8 +177,34 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     return fit(rows, idf) if rows else None
 
 
+class Predictor:
+    """Predictions of a model for whole texts, with what a task prepares once."""
+
+    def __init__(self, model: Model):
+        self.model, self.distinct = model, _Distinct()
+        self.idf2 = model.idf**2
+        self.table = (model.idf[:, None] * model.weights).astype(np.float32)
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        m = self.model
+        cols, spans, has = hashed(texts)
+        names, scores = [], []
+        for (a, b), yes in zip(spans.tolist(), has.tolist(), strict=True):
+            if not yes:
+                names.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            c, k = self.distinct(cols[a:b])
+            norm = np.sqrt((k.astype(float) ** 2) @ self.idf2[c])
+            p = softmax(((k @ self.table[c]) / max(1e-12, norm) + m.bias) / m.temperature)
+            best = int(p.argmax())
+            names.append(m.languages[best])
+            scores.append(float(p[best]))
+        return names, scores
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score; docs needs a column text."""
+    """docs without its column text, with lang_pred and score."""
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).drop("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,30 +212,29 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, distinct = shared.value, _Distinct()
-        idf2 = m.idf**2
-        table = (m.idf[:, None] * m.weights).astype(np.float32)
+        predictor = Predictor(shared.value)
         for batch in slices(batches, most_bytes=_SLICE):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            cols, spans, has = hashed(texts)
-            names, scores = [], []
-            for (a, b), yes in zip(spans.tolist(), has.tolist(), strict=True):
-                if not yes:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                c, k = distinct(cols[a:b])
-                norm = np.sqrt((k.astype(float) ** 2) @ idf2[c])
-                z = (k @ table[c]) / max(1e-12, norm) + m.bias
-                p = softmax(z / m.temperature)
-                best = int(p.argmax())
-                names.append(m.languages[best])
-                scores.append(float(p[best]))
+            names, scores = predictor([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carried, "lang_pred", "score"])
 
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model | None, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a known language with at least least_score."""
+    if model is None:
+        return docs.where(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(shared.value)
+        for batch in slices(batches, text_col, _SLICE):
+            names, scores = predictor([t or "" for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows where held_out is false, predict every row: (doc_id, held_out, lang_pred, score)."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out.alias("held_out"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilstream.llm import bpe, decontam, html_extract, langid, license_scan, line_dedup, lm_ppm, media, simhash, url_gbt
 from veilstream.llm.common import crc_remainder, table
 from veilstream.llm.oracles import ORACLES
@@ -66,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_media_sniff": op9_media_sniff,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 
