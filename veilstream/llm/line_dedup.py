@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from veilstream.llm.common import materialize
 
-DEPTH = 3
 HALF = 12
-VARIABLE = r"[^ \t\r\f]*(?:[0-9@]|://)[^ \t\r\f]*"
+VARIABLE = r"(?<![^ \t\r\f])(?:[^ \t\r\f0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ \t\r\f]*"  # a whole token, met at its start only
 BLANKS = r"[ \t\r\f]+"
 
 
@@ -36,26 +35,31 @@ def _hashes(*parts: Column) -> Column:
 
 
 def template_ids(lines: DataFrame) -> DataFrame:
-    """lines (..., line) with ids: the template hashes of each line that has any; other lines are left out."""
-    out = lines.withColumn("masked", masked(F.col("line"))).drop("line")
-    out = out.where(F.when(F.col("masked").contains("<*>"), F.replace("masked", F.lit("<*>"), F.lit(""))).otherwise(F.col("masked")).rlike(r"\p{L}"))
-    out = out.withColumn("tokens", F.array_remove(F.split("masked", BLANKS), "")).drop("masked")
-    out = out.withColumn("n", F.size("tokens"))
-    half = F.ceil(F.col("n") / 2).cast("int")
-    leaf = [F.col("n"), F.slice("tokens", 1, DEPTH)]
-    whole = _hashes(F.lit(0), *leaf, F.col("tokens"))
-    first = _hashes(F.lit(1), *leaf, F.slice("tokens", F.lit(1), half))
-    second = _hashes(F.lit(2), F.col("n"), F.slice("tokens", half + 1, F.col("n")))
-    return out.withColumn("ids", F.when(F.col("n") >= 2 * HALF, F.array(whole, first, second)).otherwise(F.array(whole))).drop("tokens", "n")
-
-
-def _kept(lines: Column, dropped: Column) -> Column:
-    """lines without those at the ascending positions dropped: the stretches between them, put together."""
-    between = F.transform(
-        F.sequence(F.lit(0), F.size(dropped)),
-        lambda k: F.slice(lines, F.when(k == 0, F.lit(1)).otherwise(F.get(dropped, k - 1) + 2), F.coalesce(F.get(dropped, k), F.size(lines)) - F.when(k == 0, F.lit(-1)).otherwise(F.get(dropped, k - 1)) - 1),
-    )
-    return F.flatten(between)
+    """lines (..., line) with ids: the template hashes of each line, null where it has none.
+
+    Each step is a column of its own, used more than once by the next, so that it is worked out once for a line; a
+    filter here would be pushed below them and repeat them.
+    """
+    out = lines.withColumn("plain", masked(F.col("line"))).drop("line")
+    out = out.withColumn("odd", F.col("plain").rlike(r"[\t\r\f]|  |^ | $"))
+    out = out.withColumn("tokens", F.when(F.col("odd"), F.trim(F.regexp_replace("plain", BLANKS, " "))).otherwise(F.col("plain"))).drop("plain", "odd")
+    letters = F.when(F.col("tokens").contains("<*>"), F.replace("tokens", F.lit("<*>"), F.lit(""))).otherwise(F.col("tokens")).rlike(r"\p{L}")
+    out = out.withColumn("n", F.when(letters, F.length("tokens") - F.length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1))
+    half = F.floor((F.col("n") + 1) / 2).cast("int")
+    out = out.withColumns({"left": F.when(F.col("n") >= 2 * HALF, F.call_function("substring_index", F.col("tokens"), F.lit(" "), half)), "right": F.when(F.col("n") >= 2 * HALF, F.call_function("substring_index", F.col("tokens"), F.lit(" "), half - F.col("n")))})
+    whole, first, second = _hashes(F.lit(0), F.col("tokens")), _hashes(F.lit(1), F.col("n"), F.col("left")), _hashes(F.lit(2), F.col("n"), F.col("right"))
+    ids = F.when(F.col("n") >= 2 * HALF, F.array(whole, first, second)).when(F.col("n").isNotNull(), F.array(whole))
+    return out.withColumn("ids", ids).drop("tokens", "n", "left", "right")
+
+
+def _kept(text: Column, dropped: Column) -> Column:
+    """text without the lines at the ascending positions dropped: the stretches between them, put together."""
+
+    def between(lines: Column) -> Column:  # bound as a variable, so that the text is split once
+        after = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(dropped, k - 1))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda k: F.slice(lines, after(k) + 2, F.coalesce(F.get(dropped, k), F.size(lines)) - after(k) - 1)))
+
+    return F.array_join(F.get(F.transform(F.array(F.split(text, "\n", -1)), between), F.lit(0)), "\n")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
@@ -69,12 +73,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = rows.groupBy("a", "b").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
     drops = rows.join(found, ["a", "b"]).where(F.col("__id") > F.col("first"))
     drops = drops.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    joined = src.join(drops, ["__id", "__hash"], "left").withColumn("lines", F.split("__text", "\n", -1))
-    text = F.when(F.col("dropped").isNull(), F.col("__text")).otherwise(F.array_join(_kept(F.col("lines"), F.col("dropped")), "\n"))
+    joined = src.join(drops, ["__id", "__hash"], "left")
+    text = F.when(F.col("dropped").isNull(), F.col("__text")).otherwise(_kept(F.col("__text"), F.col("dropped")))
+    n_lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         F.col("__id").alias(id_col),
         text.alias(text_col),
         *(F.col(f"__c{k}").alias(c) for k, c in enumerate(carried)),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
-    ).withColumns({c: F.greatest(F.col(c), F.lit(0)) for c in ("n_lines", "n_dropped")})
+        F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"),
+        F.greatest(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    )
