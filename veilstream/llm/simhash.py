@@ -7,10 +7,10 @@ with that bit wiped out: fingerprints with a segment that differs in one bit at
 only pairs that differ at the wiped bit are compared (and, under each segment's first bit, those that agree in the
 whole segment), which keeps each pair from being met again and again; whole fingerprints then decide.
 
-Exact copies collapse to one fingerprint before anything is filed. Keys that cannot hold a pair are dropped by one
-aggregation. A key with more than BLOCK members is dealt out to pairs of blocks, so no task holds more than two blocks
-of it. A key's links are reduced to a spanning forest where they are found, so that a group of thousands gives no more
-links than it has members, and connects the same documents.
+Exact copies collapse to one fingerprint before anything is filed. The keys meet by one shuffle; each task walks its
+keys in order, holding one at a time. A key with more than BLOCK members, found by counting first, is dealt out to pairs
+of blocks instead, so no task holds more than two blocks of it. A key's links are reduced to a spanning forest where
+they are found, so that a group of thousands gives no more links than it has members, and connects the same documents.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other; fewer words than a
 shingle make one shingle; a null doc_id is never the smallest; repeated rows are copies; an empty table gives an empty
@@ -60,32 +60,27 @@ def fingerprints_of(raws: list[bytes], width: int = 4, seed: int = 42) -> np.nda
     return out
 
 
-def fingerprint_documents(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """docs' columns named in keep, and fp: the fingerprint as a signed long."""
+def fingerprint_documents(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
+    """docs' columns named in keep, and the fingerprint as a signed long."""
     src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             fp = fingerprints_of(utf8(batch.column("__text")), width, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=[*keep, name])
 
-    return src.mapInArrow(run, f"{schema}, fp bigint")
+    return src.mapInArrow(run, f"{schema}, `{name}` bigint")
 
 
 def _filed(fps: DataFrame) -> DataFrame:
-    """(key, bit, fp): each fingerprint under its 64 one-wildcard segments. key: the wiped bit's number and the segment."""
+    """(key, fp): each fingerprint under its 64 one-wildcard segments. key: the wiped bit's number and the segment."""
     p = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")
     start = F.expr("CASE WHEN p < 21 THEN 0 WHEN p < 42 THEN 21 ELSE 42 END")
     mask = F.expr(f"CASE WHEN p < 42 THEN {SEGMENTS[0][1]}L ELSE {SEGMENTS[2][1]}L END")
     wiped = F.expr("fp & ~shiftleft(1L, p)")
     segment = F.call_function("shiftrightunsigned", wiped, start).bitwiseAND(mask)
-    key = F.expr("shiftleft(p, 22)") + segment.cast("int")
-    return fps.select("fp", p).select(key.alias("key"), F.expr("cast(shiftright(fp, p) & 1L as int)").alias("bit"), "fp")
-
-
-def _first_bit(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 22).isin(0, 21, 42)
+    return fps.select("fp", p).select((F.expr("shiftleft(p, 22)") + segment.cast("int")).alias("key"), "fp")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -120,52 +115,77 @@ def forest(fps: np.ndarray, p: int, fresh: np.ndarray | None = None) -> list[tup
     return [(int(all_[i]), int(all_[j])) for i, j in out]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(sorted(set(found)), np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+
+def key_links(keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    """Links of many keys at once: of the k-th key the members are values[starts[k] : starts[k] + sizes[k]]."""
+    out: list[tuple[int, int]] = []
+    bit = keys >> 22
+    plain = np.isin(bit, (0, 21, 42))
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        rows = np.flatnonzero(sizes == m)
+        if m > 32:
+            for r in rows.tolist():
+                out += forest(values[starts[r] : starts[r] + m], int(bit[r]))
+            continue
+        i, j = np.triu_indices(m, 1)
+        step = max(1, 200_000 // len(i))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            group = values[starts[part][:, None] + np.arange(m)]
+            x = group[:, i] ^ group[:, j]
+            hit = (np.bitwise_count(x) <= BITS) & (plain[part][:, None] | ((x >> bit[part].astype(np.uint64)[:, None]) & np.uint64(1)).astype(bool))
+            many = hit.sum(axis=1) >= m
+            for r in part[many].tolist():
+                out += forest(values[starts[r] : starts[r] + m], int(bit[r]))
+            g, q = np.nonzero(hit & ~many[:, None])
+            out += zip(group[g, i[q]].tolist(), group[g, j[q]].tolist(), strict=True)
+    return out
+
+
+def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; the last key of a batch waits for the next batch."""
+    key, fp = np.empty(0, np.int32), np.empty(0, np.uint64)
+    for batch in batches:
+        key = np.concatenate([key, batch.column("key").to_numpy()])
+        fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        if len(starts) > 1:
+            yield _pairs(key_links(key[starts[:-1]], starts[:-1], np.diff(starts), fp))
+            key, fp = key[starts[-1] :], fp[starts[-1] :]
+    if len(key):
+        yield _pairs(key_links(key[:1], np.zeros(1, np.int64), np.array([len(key)]), fp))
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, a, b = batch.column("key").to_numpy(), batch.column("one"), batch.column("two")
-        out: list[tuple[int, int]] = []
-        sizes = np.diff(a.offsets.to_numpy())
-        values, starts = a.flatten().to_numpy().view(np.uint64), a.offsets.to_numpy()[:-1] - a.offsets.to_numpy()[0]
-        second = np.diff(b.offsets.to_numpy()) > 0
-        shift = keys >> 22
-        plain = np.isin(shift, (0, 21, 42))
-        for m in np.unique(sizes[~second]).tolist():  # small keys of a size are compared at once
-            rows = np.flatnonzero((sizes == m) & ~second)
-            if m > 32:
-                out += [e for r in rows.tolist() for e in forest(values[starts[r] : starts[r] + m], int(shift[r]))]
-                continue
-            i, j = np.triu_indices(m, 1)
-            for at in range(0, len(rows), max(1, 200_000 // max(1, len(i)))):
-                part = rows[at : at + max(1, 200_000 // max(1, len(i)))]
-                group = values[starts[part][:, None] + np.arange(m)]
-                x = group[:, i] ^ group[:, j]
-                hit = (np.bitwise_count(x) <= BITS) & (plain[part][:, None] | ((x >> shift[part].astype(np.uint64)[:, None]) & np.uint64(1)).astype(bool))
-                many = hit.sum(axis=1) >= m
-                for r in part[many].tolist():
-                    out += forest(values[starts[r] : starts[r] + m], int(shift[r]))
-                g, q = np.nonzero(hit & ~many[:, None])
-                out += zip(group[g, i[q]].tolist(), group[g, j[q]].tolist(), strict=True)
-        for r in np.flatnonzero(second).tolist():
-            out += forest(np.array(a[r].as_py(), np.int64).view(np.uint64), int(shift[r]), np.array(b[r].as_py(), np.int64).view(np.uint64))
-        pairs = np.array(sorted(set(out)), np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+        for key, one, two in zip(*(batch.column(c).to_pylist() for c in ("key", "one", "two")), strict=True):
+            a, b = (np.array(x, np.int64).view(np.uint64) for x in (one, two))
+            yield _pairs(forest(a, key >> 22, b if len(b) else None))
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints fp: a spanning forest of each key's links, whole in what they connect."""
     filed = _filed(fps)
-    sized = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("bit").alias("lo"), F.max("bit").alias("hi"))
-    sized = sized.where((F.col("n") > 1) & (_first_bit(F.col("key")) | (F.col("lo") < F.col("hi")))).select("key", "n")
-    met = filed.select("key", "fp").join(sized, "key")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    dealt = met.select("key", "fp", own.alias("own"), F.explode(F.when(F.col("n") <= BLOCK, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("other"))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    grouped = dealt.select("key", "fp", "own", lo.alias("lo"), hi.alias("hi")).groupBy("key", "lo", "hi").agg(
-        F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("fp"))).alias("one"),
-        F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("fp"))).alias("two"),
-    )
-    return grouped.select("key", "one", "two").mapInArrow(_links, "a bigint, b bigint").distinct()
+    crowded = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "crowded")
+    if crowded.isEmpty():
+        usual, links = filed, None
+    else:
+        usual = filed.join(crowded, "key", "left_anti")
+        blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        dealt = filed.join(crowded, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        dealt = dealt.select("key", "fp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        grouped = dealt.groupBy("key", "lo", "hi").agg(
+            F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("fp"))).alias("one"),
+            F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("fp"))).alias("two"),
+        )
+        links = grouped.select("key", "one", "two").mapInArrow(_block_links, "a bigint, b bigint")
+    found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_run_links, "a bigint, b bigint")
+    return (found if links is None else found.union(links)).distinct()
 
 
 def component_ids(prints: DataFrame, order: Column) -> DataFrame:
@@ -191,8 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """The rows of docs without those that have a near copy before them (by id, then by place): one row of each class."""
-    placed = materialize(fingerprint_documents(docs.withColumn("__row", F.monotonically_increasing_id()), [*docs.columns, "__row"], text_col, width, seed), "placed")
+    placed = materialize(fingerprint_documents(docs.withColumn("__row", F.monotonically_increasing_id()), [*docs.columns, "__row"], text_col, width, seed, "__fp"), "placed")
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
-    ids = component_ids(placed.select("fp", id_col, "__row"), order)
+    ids = component_ids(placed.select(F.col("__fp").alias("fp"), order.alias("order")), F.col("order"))
     kept = ids.select(F.col("first.__row").alias("__row")).distinct()
     return placed.join(kept, "__row", "left_semi").select(*docs.columns)
