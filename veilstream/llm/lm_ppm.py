@@ -288,7 +288,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             texts = [raw.lower().split() for raw in utf8(batch.column("text"))]
             rows = batch.column("row").to_numpy()
             grams, starts = gram_keys([stream_of(t) for t in texts])
-            score = np.add.reduceat(lookup(grams), starts) if len(texts) else np.empty(0)
+            score = np.add.reduceat(lookup(grams), starts).astype(float) if len(texts) else np.empty(0)
             size, hashes, tfs = [], [], []
             for t in texts:
                 c = Counter(t)
@@ -303,7 +303,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 size.append(len(c))
             key, tf, doc = np.array(hashes, np.int64), np.array(tfs, np.int64), np.repeat(np.arange(len(texts)), size)
             at, known = _find(fkeys, key)
-            logs = np.bincount(doc[known], tf[known] * flogs[at[known]], len(texts))
+            logs = np.bincount(doc[known], tf[known] * flogs[at[known]], len(texts)).astype(float)
             n_known = np.bincount(doc[known], tf[known], len(texts)).astype(np.int64)
             n_tokens = np.array([len(t) + 1 for t in texts], np.int64)
             spread = np.array([word_key(b"\n%d" % r) for r in rows.tolist()], np.int64)  # no word's key is meant: it only deals the rows out
