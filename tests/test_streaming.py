@@ -39,3 +39,16 @@ def test_modifiers_as_in_batch(spark, tmp_path):
         query = run_to_table(run_pipeline_stream(arriving, p, 2), name)
         query.awaitTermination()
         assert rounded(spark.table(name)) == rounded(run_pipeline(whole, p, 2))
+
+
+def test_csv_files(spark, tmp_path):
+    from veilstream.streaming.analysis import stream_of_csv
+
+    source = tmp_path / "csv"
+    source.mkdir()
+    (source / "1.csv").write_text("Timestamp,user,A,EventType\n1,u, 2.5 ,duplicate\nTimestamp,user,A,EventType\n2,v,NaN,odd\n")
+    (source / "2.csv").write_text("Timestamp,user,A,EventType\nx,u,1,\n3,u,,\n")
+    events = stream_of_csv(spark, str(source), ["Timestamp", "user", "A", "EventType"], ["a"], "USER")
+    run_to_table(events, "lines").awaitTermination()
+    got = [(r["ts"], r["key"], r["event_type"], r["a"]) for r in spark.table("lines").orderBy("seq").collect()]
+    assert got == [(1, "u", "DUPLICATE", 2.5), (2, "v", "NORMAL", None), (3, "u", "NORMAL", None)]

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from veilstream.functions.missing import parsed
 from veilstream.operators.analysis import AnalysisSpec
-from veilstream.sources.streams import attributes_of, q
+from veilstream.sources.streams import GLOBAL_KEY, attributes_of, event_type_of, q
 
 
 def sliding_average_stream(stream: DataFrame, spec: AnalysisSpec, delay: str = "0 seconds") -> DataFrame:
@@ -36,3 +37,24 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None) ->
 
 def stream_of_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def stream_of_csv(spark: SparkSession, path: str, header: list[str], attributes: list[str], key: str = "", files_per_batch: int = 1) -> DataFrame:
+    """A stream from a folder of headed CSV files with the given columns; names are met in any case.
+
+    Lines without a whole timestamp, repeated headers among them, are dropped. Events of one time are ordered by a hash
+    of their line, as files that arrive have no line numbers.
+    """
+    schema = ", ".join(f"`{c}` string" for c in header)
+    rows = spark.readStream.schema(schema).options(header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, maxFilesPerTrigger=files_per_batch).csv(path)
+    names = {c.lower(): c for c in header}
+    stamp, kind, key_column = q(names["timestamp"]).try_cast("bigint"), names.get("eventtype"), names.get(key.lower()) if key else None
+    line = F.pmod(F.xxhash64(*[q(c) for c in header]), F.lit(1 << 20))
+    return rows.where(stamp.isNotNull()).select(
+        (F.shiftleft(stamp, 20) + line).alias("seq"),
+        F.lit("").alias("dup_path"),
+        stamp.alias("ts"),
+        (q(key_column) if key_column else F.lit(GLOBAL_KEY)).alias("key"),
+        (event_type_of(q(kind)) if kind else F.lit("NORMAL")).alias("event_type"),
+        *[parsed(q(names[a.lower()])).alias(a) for a in attributes],
+    )
