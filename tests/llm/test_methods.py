@@ -52,6 +52,13 @@ def test_html_parts():
     assert blocks > kept == 4
 
 
+def test_article_heads_and_boxes():
+    page = """<body><div role="banner">Site name</div><div id="content"><article class="post"><header class="entry-header"><h1>Own title</h1></header>
+    <p>The body of it is here, as one would think.</p><div class="adbox">Buy this now, it is cheap!</div><p>More of it.</p></article>
+    <article class="comment"><p>I liked it very much, thank you, and so on.</p></article></div><div class="sidebarBox"><p>Not this one.</p></div></body>"""
+    assert html_extract.main_text(page)[0] == "Own title\nThe body of it is here, as one would think.\nMore of it."
+
+
 def test_pages_of_the_table(spark):
     import html as h
 

@@ -38,7 +38,8 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figcapt
 #: Costs by element, added for the block's ancestors; above zero speaks for content.
 ELEMENT = {"article": 3.0, "main": 2.5, "p": 1.0, "h1": 1.0, "h2": 0.8, "h3": 0.6, "blockquote": 0.6, "pre": 0.6, "figcaption": 0.2, "nav": -9.0, "footer": -7.0, "header": -3.5, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "fieldset": -6.0}
 #: Words of class, id and role that name boilerplate or content.
-BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|comment-?list|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|overlay|widget|pagination|pager|copyright|legal|disclaimer|tags?|search)(?=$|[\s_-])", re.I)
+BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|adbox|adslot|contentinfo|complementary|promo\w*|banner|cookies?|consent|gdpr|notices?|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|comment-?list|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|overlay|widget|pagination|pager|copyright|legal|disclaimer|tags?|search)(?=$|[\s_-])", re.I)
+HEAD_WORDS = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|main|text)(?=$|[\s_-])", re.I)
 WORDING = re.compile(r"cookie|©|&copy;|all rights reserved|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|advertisement|sponsored", re.I)
 
@@ -134,7 +135,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         skip = name in SKIP
-        stack.append((name, number, ELEMENT.get(name, 0.0) + (_named(m[3]) if m[3] else 0.0), skip))
+        if inside := any(s[0] == "article" for s in stack):  # the article's own head holds its title
+            own = 0.0 if name == "header" else ELEMENT.get(name, 0.0)
+        else:
+            own = ELEMENT.get(name, 0.0)
+        stack.append((name, number, own + (_named(HEAD_WORDS.sub("", m[3]) if inside else m[3]) if m[3] else 0.0), skip))
         hidden += skip
         links += name == "a"
     flush()
