@@ -100,7 +100,8 @@ def _rated(df: DataFrame, rates: list[dict[str, int]], overall: int) -> DataFram
     """Suffix statistics by two joins with tables of SUFFIX_SHARE rows at most."""
     for col, name, table in (("one", "suffix1", rates[0]), ("two", "suffix2", rates[1])):
         if table:
-            small = df.sparkSession.createDataFrame(sorted(table.items()), f"{col} string, {name} int")
+            pairs = F.array(*[F.struct(F.lit(k).cast("string").alias(col), F.lit(v).alias(name)) for k, v in sorted(table.items())])
+            small = df.sparkSession.range(0, 1, 1, 1).select(F.inline(pairs))
             df = df.join(F.broadcast(small), col, "left").withColumn(name, F.coalesce(name, F.lit(overall)))
         else:
             df = df.withColumn(name, F.lit(overall))
