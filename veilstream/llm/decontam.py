@@ -124,7 +124,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield block
 
 
-_BUILT: dict[int, ahocorasick.Automaton] = {}
+#: The task's last parts and their automaton; the parts are held, so that another list is never taken for them.
+_BUILT: list = [None, None]
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())]))
 
@@ -139,10 +140,9 @@ def with_hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             parts = shared.value
-            if id(parts) not in _BUILT:
-                _BUILT.clear()
-                _BUILT[id(parts)] = build(parts)
-            automaton = _BUILT[id(parts)]
+            if _BUILT[0] is not parts:
+                _BUILT[:] = [parts, build(parts)]
+            automaton = _BUILT[1]
             for batch in slices(batches):
                 hits = batch.column("hits").to_pylist()
                 for k, raw in enumerate(utf8(batch.column("text"))):
