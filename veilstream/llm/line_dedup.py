@@ -27,7 +27,7 @@ BLANKS = r"[ \t\r\f]+"
 
 
 def masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    return F.when(line.rlike("[0-9@:]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
 
 
 def _hashes(*parts: Column) -> Column:
@@ -41,10 +41,11 @@ def template_ids(lines: DataFrame) -> DataFrame:
     filter here would be pushed below them and repeat them.
     """
     out = lines.withColumn("plain", masked(F.col("line"))).drop("line")
-    out = out.withColumn("odd", F.col("plain").rlike(r"[\t\r\f]|  |^ | $"))
+    p = F.col("plain")  # byte searches, cheaper than a pattern
+    out = out.withColumn("odd", p.contains("  ") | p.contains("\t") | p.contains("\r") | p.contains("\f") | p.startswith(" ") | p.endswith(" "))
     out = out.withColumn("tokens", F.when(F.col("odd"), F.trim(F.regexp_replace("plain", BLANKS, " "))).otherwise(F.col("plain"))).drop("plain", "odd")
     letters = F.when(F.col("tokens").contains("<*>"), F.replace("tokens", F.lit("<*>"), F.lit(""))).otherwise(F.col("tokens")).rlike(r"\p{L}")
-    out = out.withColumn("n", F.when(letters, F.length("tokens") - F.length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1))
+    out = out.withColumn("n", F.when(letters, F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1))
     half = F.floor((F.col("n") + 1) / 2).cast("int")
     out = out.withColumns({"left": F.when(F.col("n") >= 2 * HALF, F.call_function("substring_index", F.col("tokens"), F.lit(" "), half)), "right": F.when(F.col("n") >= 2 * HALF, F.call_function("substring_index", F.col("tokens"), F.lit(" "), half - F.col("n")))})
     whole, first, second = _hashes(F.lit(0), F.col("tokens")), _hashes(F.lit(1), F.col("n"), F.col("left")), _hashes(F.lit(2), F.col("n"), F.col("right"))
@@ -75,7 +76,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     drops = drops.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     joined = src.join(drops, ["__id", "__hash"], "left")
     text = F.when(F.col("dropped").isNull(), F.col("__text")).otherwise(_kept(F.col("__text"), F.col("dropped")))
-    n_lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length("__text") - F.octet_length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         F.col("__id").alias(id_col),
         text.alias(text_col),
