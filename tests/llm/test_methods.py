@@ -59,6 +59,14 @@ def test_article_heads_and_boxes():
     assert html_extract.main_text(page)[0] == "Own title\nThe body of it is here, as one would think.\nMore of it."
 
 
+@pytest.mark.parametrize("icon", ['<svg class="icon"/>', "<math/>", "<svg width='1' />", "<svg class=icon>", "<object data=x>"])
+def test_raw_elements_without_end_tags(icon):
+    page = f"<body><article><p>The first part of it, as one would think.{icon}</p><p>The second part of it, and that is all.</p></article></body>"
+    assert html_extract.main_text(page)[0] == "The first part of it, as one would think.\nThe second part of it, and that is all."
+    assert html_extract.main_text(page.replace(icon, "<svg a=b/><text>hidden</text></svg>"))[0] == html_extract.main_text(page)[0]
+    assert html_extract.main_text(page.replace(icon, "<script>"))[1] == 1
+
+
 def test_pages_of_the_table(spark):
     import html as h
 

@@ -10,7 +10,8 @@ A block whose terminal cost outweighs all its smoothness edges has that label in
 fixed first and their edges become costs of their neighbours, and what stays open is solved by augmenting paths.
 
 Defined cases: null and empty html gives empty text; unclosed tags end with their parent or at the next block tag that
-implies their end; a page without any content block gives empty text; repeated pages give repeated rows.
+implies their end; svg and math may close themselves, and an unclosed svg, math, object, template or noscript hides nothing; an
+unclosed script, style, textarea, title, iframe, xmp, noembed or noframes goes on to the page's end; a page without any content block gives empty text; repeated pages give repeated rows.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ from veilstream.llm.common import slices
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+
 #: Elements whose text is no page text, elements without end tags, elements that break text into blocks.
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "xmp", "noembed", "noframes"}
+#: Of these, the ones whose content is markup in itself; without an end tag the page goes on behind their start tag.
+MARKUP = {"template", "noscript", "svg", "math", "object"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 SKIP = {"head", "button", "select", "option", "canvas", "audio", "video"}
@@ -63,6 +68,11 @@ def _named(attrs: str) -> float:
     return total
 
 
+def _self_closing(attrs: str) -> bool:
+    """Whether a tag's attributes end in a slash that is not part of an unquoted value."""
+    return attrs.endswith("/") and not re.search(r"=\s*[^\s\"'][^\s]*$", _QUOTED.sub('""', attrs))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order, with the path of their elements and the sum of what their ancestors speak for."""
     out: list[Block] = []
@@ -114,8 +124,11 @@ def blocks_of(page: str) -> list[Block]:
         if name in RAW:
             if name not in INLINE and name in ("textarea", "title"):
                 flush()
+            if name in ("svg", "math") and _self_closing(m[3]):
+                continue
             tail = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = tail.end() if tail else end
+            if tail or name not in MARKUP:
+                at = tail.end() if tail else end
             continue
         if name == "br":
             parts.append(" ")
