@@ -191,6 +191,29 @@ def test_near_duplicates(spark, texts):
     assert [out[k]["component_id"] for k in ids] == components(ids, fps)
 
 
+def test_near_copies_by_similarity(spark):
+    """Every pair of at least 0.8 in five-word shingles links, no other does."""
+    rng = random.Random(5)
+    rows, sets = [], []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 1000]))] if k % 3 == 0 else list(base)
+        base = words if k % 3 == 0 else base
+        if k % 3:
+            for _ in range(max(1, len(words) * k // 2000)):
+                words[rng.randrange(len(words))] = f"new{k}"
+        rows.append((k, " ".join(words)))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    link = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    label = list(range(60))
+    for _ in range(3):
+        for i, j in itertools.combinations(range(60), 2):
+            if link(i, j):
+                label[i] = label[j] = min(label[i], label[j])
+    assert 20 < len(set(label)) < 60
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_dense_groups_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)

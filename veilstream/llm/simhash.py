@@ -34,6 +34,8 @@ BITS = 4
 #: First bit and mask of each segment.
 SEGMENTS = [(0, (1 << 21) - 1), (21, (1 << 21) - 1), (42, (1 << 22) - 1)]
 BLOCK = 4096
+#: Of keep_first: keys of each set of shingles, and least hashes in a key.
+BANDS, ROWS = 32, 5
 
 
 def shingle_hashes(raw: bytes, width: int, seed: int) -> list[int]:
@@ -209,10 +211,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ids, "fp").select("doc_id", hexed, F.col("first").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of docs without those that have a near copy before them (by id, then by place): one row of each class."""
-    placed = materialize(fingerprint_documents(docs.withColumn("__row", F.monotonically_increasing_id()), [*docs.columns, "__row"], text_col, width, seed, "__fp"), "placed")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
-    ids = component_ids(placed.select(F.col("__fp").alias("fp"), order.alias("order")), F.col("order"))
-    kept = ids.select(F.col("first.__row").alias("__row")).distinct()
+def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """BANDS keys for each of the sets hashes[starts[k] : starts[k + 1]], none of them empty: a key stands for ROWS least values."""
+    draw = np.random.default_rng(42)
+    out = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for _ in range(ROWS):
+            add, factor = (draw.integers(0, 1 << 64, dtype=np.uint64) for _ in range(2))
+            x = (hashes ^ add) * (factor | np.uint64(1))
+            x ^= x >> np.uint64(32)
+            key = (key ^ np.minimum.reduceat(x, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, band] = key
+    return out
+
+
+def _banded(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
+    """docs with __digest and __size of each text's set of shingles, and its __bands."""
+    src = docs.select(*docs.columns, F.col(text_col).cast("string").alias("__text"))
+    columns = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text", most_bytes=1 << 20):
+            sets = [np.unique(np.array(shingle_hashes(raw, width, seed), np.uint64)) for raw in utf8(batch.column("__text"))]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            some = sizes[sizes > 0]
+            keys = _bands(np.concatenate(sets), np.cumsum(some) - some) if len(some) else np.empty((0, BANDS), np.uint64)
+            offsets = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+            digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), digest, pa.array(sizes), bands], names=[*columns, "__digest", "__size", "__bands"])
+
+    return src.mapInArrow(run, f"{schema}, __digest binary, __size bigint, __bands array<bigint>")
+
+
+def _verified(width: int, seed: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, b, one, two) with the texts of a pair; those of the same a mostly follow each other."""
+        last, held = None, np.empty(0, np.uint64)
+        for whole in batches:
+            for batch in slices(slices([whole], "one"), "two"):
+                yes = []
+                for a, one, two in zip(batch.column("a").to_pylist(), utf8(batch.column("one")), utf8(batch.column("two")), strict=True):
+                    if a != last:
+                        last, held = a, np.unique(np.array(shingle_hashes(one, width, seed), np.uint64))
+                    other = np.unique(np.array(shingle_hashes(two, width, seed), np.uint64))
+                    both = len(np.intersect1d(held, other, assume_unique=True))
+                    yes.append(both >= least * (len(held) + len(other) - both))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
+    """The rows of docs without those that have a near copy before them (by id, then by place): one row of each class.
+
+    Near copies are texts whose sets of shingles have a Jaccard similarity of least or more, and what these connect. Texts
+    with equal sets collapse first. Candidates meet in one of BANDS keys, each of ROWS least hashes: a pair at 0.8 meets
+    but for a chance of 3 in a million, and a closer one more surely. The texts of each candidate pair then decide.
+    """
+    placed = materialize(_banded(docs.withColumn("__row", F.monotonically_increasing_id()), text_col, width, seed), "placed")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    sets = placed.groupBy("__digest").agg(F.min(order).alias("own"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
+    sets = materialize(sets.select("own", F.col("own.row").alias("node"), "size", "bands"), "sets")
+    filed = sets.select("node", "size", F.explode("bands").alias("key"))
+    shared = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    met = materialize(filed.join(shared, "key", "left_semi"), "met")
+    a, b = (met.select("key", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b"))
+    pairs = materialize(a.join(b, "key").where(fits).select("a", "b").distinct(), "pairs")
+    texts = placed.select(F.col("__row"), F.col(text_col).cast("string").alias("text"))
+    nodes = pairs.select(F.col("a").alias("__row")).union(pairs.select(F.col("b").alias("__row"))).distinct()
+    texts = materialize(texts.join(nodes, "__row", "left_semi"), "near")
+    told = pairs.join(texts.select(F.col("__row").alias("b"), F.col("text").alias("two")), "b").join(texts.select(F.col("__row").alias("a"), F.col("text").alias("one")), "a")
+    labels = connected(told.select("a", "b", "one", "two").mapInArrow(_verified(width, seed, least), "a bigint, b bigint"))
+    firsts = sets.select("own", "node")
+    if labels is not None:
+        firsts = firsts.join(labels.select("node", "label"), "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("own").alias("own"))
+    kept = firsts.select(F.col("own.row").alias("__row"))
     return placed.join(kept, "__row", "left_semi").select(*docs.columns)
