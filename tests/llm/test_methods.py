@@ -348,6 +348,17 @@ def test_licenses():
     assert [(f["offset"], f["license"], f["differences"]) for f in found] == [(7, "MIT", 0)]
 
 
+def test_licenses_in_lines_long_lines_and_pairs():
+    names = lambda text: [f["license"] for f in license_scan.scan_text(text.encode())]
+    for name, text in license_scan.TEMPLATES:
+        for width in (5, 9):
+            w = text.split()
+            wrapped = "\n".join(" * " + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+            assert set(names(f"code above\n{wrapped}\ncode below")) == {name}
+        assert set(names("some other words here " * 40 + text)) == {name}
+    assert sorted(names("Released under the MIT License. Licensed under CC BY 4.0.")) == ["CC-BY-4.0", "MIT"]
+
+
 # ---- 8: BPE
 
 

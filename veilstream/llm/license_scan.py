@@ -1,10 +1,12 @@
 """License scans by conditional compression.
 
-Candidate blocks are the runs of text between line ends that hold a cue word of licensing. A block is compressed once
-alone and once with each template as a raw zstandard dictionary; what the dictionary saves, as a share of the plain
-size, ranks the templates. Going down the ranking, a template wins if the exact wording differences between it and the
-best-aligned words of the block are few: at most one word in max_difference of the template's, and no difference in a
-version number or a distinguishing name. Every block of a text is judged; equal blocks are judged once in a task.
+A text is read as its words, so line ends and comment marks within a notice do not matter. A template that is there with
+at most one word in MAX_DIFFERENCE lost keeps one of its anchors, of which it has one more than it may lose; around each
+anchor's occurrence a window of the template's size is compressed alone and with the template as a raw zstandard
+dictionary. It is a candidate if the dictionary saves LEAST_SAVING of the template's own size, and wins if the exact
+wording differences are few and none is in a version number or a distinguishing name. All notices of a text are
+reported, of overlapping ones that with the most equal words. Lines with a cue word of licensing outside of all notices
+are reported as blocks without a license, with the template that saves most.
 
 Defined cases: null and empty texts have no blocks and no licenses; ties in the ranking go to the template's id;
 repeated rows give repeated rows; other columns are ignored.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -75,20 +78,77 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[int, str, list[
     return plain(), own
 
 
-def differences(template: list[str], block: list[str]) -> list[str]:
-    """The template's words that its best-aligned stretch of the block lacks, and the words that stand there instead."""
+def align(template: list[str], block: list[str]) -> tuple[list[str], int, int]:
+    """The differing words of the template and its best-aligned stretch of the block, and where the equal words begin and end."""
     match = difflib.SequenceMatcher(None, template, block, autojunk=False)
     same = [m for m in match.get_matching_blocks() if m.size]
     if not same:
-        return template
+        return template, 0, 0
     lo, hi = max(0, same[0].b - same[0].a), min(len(block), same[-1].b + len(template) - same[-1].a)
     out = []
     for op, a, b, c, d in difflib.SequenceMatcher(None, template, block[lo:hi], autojunk=False).get_opcodes():
         if op != "equal":
             out += [*template[a:b], *block[lo + c : lo + d]]
+    return out, same[0].b, same[-1].b + same[-1].size
+
+
+def differences(template: list[str], block: list[str]) -> list[str]:
+    """The template's words that its best-aligned stretch of the block lacks, and the words that stand there instead."""
+    return align(template, block)[0]
+
+
+@lru_cache(maxsize=1)
+def _anchors() -> dict[str, list[tuple[int, int]]]:
+    """Of each template its longest words, one more than it may lose: {word: [(template, the word's place in it)]}."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for k, _, words, _ in _compressors()[1]:
+        places = sorted(range(len(words)), key=lambda t: (-len(words[t]), t))
+        for t in places[: len(words) // MAX_DIFFERENCE + 1]:
+            out.setdefault(words[t], []).append((k, t))
     return out
 
 
+@lru_cache(maxsize=20_000)
+def _wins(k: int, window: str) -> tuple[float, int, int, int] | None:
+    """(share saved, differing words, first word, end) of template k in a window of words; None if it is not there."""
+    plain, own = _compressors()
+    _, _, words, compressor = own[k]
+    have = window.split(" ")
+    if sum((Counter(words) & Counter(have)).values()) < len(words) - len(words) // MAX_DIFFERENCE:
+        return None
+    saved = len(plain.compress(window.encode())) - len(compressor.compress(window.encode()))
+    share = saved / len(plain.compress(" ".join(words).encode()))
+    if share < LEAST_SAVING:
+        return None
+    diff, first, end = align(words, have)
+    if len(diff) * MAX_DIFFERENCE > len(words) or any(w in TELLING or w.isdigit() for w in diff):
+        return None
+    return share, len(diff), first, end
+
+
+def notices(text: str) -> list[tuple[int, int, str, float, int]]:
+    """(start, end, license, share saved, differing words) of the notices in text, on one line or more, none overlapping."""
+    spans = list(_WORD.finditer(text))
+    words = [m[0].lower() for m in spans]
+    anchors, own = _anchors(), _compressors()[1]
+    seen, found = set(), set()
+    for i, w in enumerate(words):
+        for k, t in anchors.get(w, ()):
+            size = len(own[k][2])
+            slack = size // MAX_DIFFERENCE
+            lo, hi = max(0, i - t - slack), min(len(words), i - t + size + slack)
+            if (k, lo, hi) not in seen:
+                seen.add((k, lo, hi))
+                if got := _wins(k, " ".join(words[lo:hi])):
+                    found.add((got[1] - size, own[k][1], lo + got[2], lo + got[3], got[0], got[1]))
+    taken, out = set(), []
+    for _, name, lo, hi, share, diff in sorted(found):  # the most equal words first
+        if taken.isdisjoint(range(lo, hi)):
+            taken.update(range(lo, hi))
+            out.append((spans[lo].start(), spans[hi - 1].end(), name, share, diff))
+    return sorted(out)
+
+
 @lru_cache(maxsize=20_000)
 def judge(block: str) -> tuple[str | None, float, int]:
     """(license or None, share saved, differing words) of a candidate block."""
@@ -97,12 +157,8 @@ def judge(block: str) -> tuple[str | None, float, int]:
     alone = len(plain.compress(raw))
     ranked = sorted((len(c.compress(raw)) - alone, name, k, words) for k, name, words, c in own)
     have = words_of(block)
-    for less, name, _, words in ranked:
-        if -less < LEAST_SAVING * alone:
-            break
-        diff = differences(words, have)
-        if len(diff) * MAX_DIFFERENCE <= len(words) and not any(w in TELLING or w.isdigit() for w in diff):
-            return name, -less / alone, len(diff)
+    if got := notices(block):
+        return got[0][2:]
     return None, max(0, -ranked[0][0]) / alone, len(differences(ranked[0][3], have))
 
 
@@ -120,13 +176,18 @@ def candidate_blocks(raw: bytes) -> list[tuple[int, int]]:
 
 
 def scan_text(raw: bytes) -> list[dict]:
-    out, chars, at = [], 0, 0
+    """The notices of a text, and its lines with a cue that lie outside all of them."""
+    text = raw.decode()
+    sure = notices(text)
+    out = [{"offset": a, "length": b - a, "license": name, "saved": saved, "differences": diff} for a, b, name, saved, diff in sure]
+    chars, at = 0, 0
     for a, b in candidate_blocks(raw):
         chars, at = chars + len(raw[at:a].decode()), a
         block = raw[a:b].decode()
-        name, saved, diff = judge(block)
-        out.append({"offset": chars, "length": len(block), "license": name, "saved": saved, "differences": diff})
-    return out
+        if not any(x < chars + len(block) and chars < y for x, y, *_ in sure):
+            name, saved, diff = judge(block)
+            out.append({"offset": chars, "length": len(block), "license": name, "saved": saved, "differences": diff})
+    return sorted(out, key=lambda x: x["offset"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
