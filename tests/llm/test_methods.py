@@ -291,11 +291,24 @@ def test_decontamination_against_windows(spark):
 
 def test_item_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(6)], "item_id bigint, text string")
-    docs = spark.createDataFrame([(0, " ".join(f"w{k}x{j}" for k in range(6) for j in range(10, 20)))], "doc_id bigint, text string")
-    whole = decontam.with_hits(docs, items).first()["hits"]
-    assert sorted(decontam.with_hits(docs, items, block_bytes=100).first()["hits"]) == sorted(whole) and len(whole) == 6
+    docs = spark.createDataFrame([(0, " ".join(f"w{k}x{j}" for k in range(6) for j in range(10, 20))), (1, None), (2, "w0x1 w0x2"), (3, " ".join(f"w0x{j}" for j in range(9)))], "doc_id bigint, text string")
+    rows = lambda **more: sorted(tuple(map(str, r)) for r in decontam.contamination(docs, items, **more).collect())
+    assert rows(block_bytes=100) == rows() and [r[3] for r in rows()] == ["6", "0", "0", "1"]
+    assert sorted(decontam.clean(docs, items, block_bytes=100).collect(), key=str) == sorted(decontam.clean(docs, items).collect(), key=str)
     monkeypatch.setattr(decontam, "PART_WORDS", 5)
-    assert {h["item"] for h in decontam.with_hits(docs, items).first()["hits"]} == set("012345")
+    assert rows() == rows(block_bytes=100) and rows()[0][3] == "6"
+
+
+def test_reach():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") if rng.random() < 0.05 else "a" for _ in range(rng.randint(1, 200))) for _ in range(2))
+        i, j = rng.randrange(len(a)), rng.randrange(len(b))
+        for step in (1, -1):
+            n = 0
+            while 0 <= i + n * step < len(a) and 0 <= j + n * step < len(b) and a[i + n * step] == b[j + n * step]:
+                n += 1
+            assert decontam._reach(a, i, b, j, step) == n
 
 
 # ---- 6: URLs
@@ -379,6 +392,16 @@ def test_tokens_agree_with_the_library(texts):
         assert enc.stats["reused"] > 0 and enc.stats["joins"] > 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 2_000_000, "a" * 1_000_000, "x " + "\t " * 500_000 + "y", "ab" * 300_000 + "  " * 200_000 + "c d", "漢" * 300_000])
+def test_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_tokenizer()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    ids, back = next(bpe.ChunkEncoder(path).encode_batch([text.encode()]))
+    assert np.frombuffer(ids, "<u4").tolist() == want and back.decode() == text
+
+
 def test_cuts_follow_content():
     rng = random.Random(1)
     shared = bytes(rng.randrange(97, 123) for _ in range(20_000))

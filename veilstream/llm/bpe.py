@@ -9,11 +9,13 @@ border has come, so that the ids agree exactly with an encoding of the whole tex
 A sure border lies between a character that is not white space and an ASCII space: the byte-level splitting pattern
 never matches across it, and its only look-ahead concerns white space before it.
 
-Reuse is kept within a task (a shuffle of all chunks would cost more than the text); the caches have a bounded number
-of bytes and forget their older generation when full, which changes time only, never ids.
+Reuse is kept within a task (the README has figures of what a shuffle of chunks would move); the caches have a bounded
+number of bytes and forget their older generation when full, which changes time only, never ids. Pieces with a long run
+of white space, and pieces of more than LARGE characters, go to the library itself, whose time and stack stay bounded.
 
-Defined cases: null text is encoded as empty text (no ids); null doc_id stays null; repeated rows give repeated rows;
-an empty table gives an empty result; columns beside id and text are ignored, whatever their names.
+Defined cases: null text is encoded as empty text (no ids); null doc_id stays null; repeated rows give repeated rows, and
+there are no ties to break; very long texts, without any border too, are encoded whole; an empty table gives an empty
+result; columns beside id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import slices, utf8
+from veilstream.llm.common import mapped, slices, utf8
 
 _BORDER = re.compile(r"\S(?= )")
+_SPACES = re.compile(r"\s{256}")
 _HASH_BYTES = 8
+LEAST_CHUNK = 32
+LARGE = 1 << 15
 
 
 def default_tokenizer() -> str:
@@ -107,7 +112,8 @@ def sure_borders(text: str) -> tuple[int, int]:
 class ChunkEncoder:
     """Encodes whole texts with reuse of chunks; ids are kept as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer_path: str, mean_bits: int = 9, cache_bytes: int = 64 << 20):
+    def __init__(self, tokenizer_path: str, mean_bits: int = 9, cache_bytes: int = 24 << 20):
+        self.path, self.library = tokenizer_path, None
         self.codec = piece_codec(tokenizer_path)
         self.special = sorted(self.codec.special_tokens_set)
         self.mean_bits = mean_bits
@@ -118,6 +124,15 @@ class ChunkEncoder:
         """The ids of a text that starts and ends at sure borders, and the bytes decoded from them."""
         if not text:
             return b"", b""
+        if len(text) > LARGE or _SPACES.search(text):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+                self.library.no_truncation()
+                self.library.no_padding()
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes(), self.library.decode(ids, skip_special_tokens=False).encode()
         ids = self.codec.encode(text, allowed_special="all") if any(x in text for x in self.special) else self.codec.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes(), self.codec.decode_bytes(ids)
 
@@ -137,6 +152,8 @@ class ChunkEncoder:
         back: list[bytes] = []
         carry, at = [], 0
         for end in [*cuts.tolist(), len(raw)]:
+            if end - at < LEAST_CHUNK and end < len(raw):
+                continue
             part = raw[at:end].decode()
             at = end
             entry = self.chunk(part)
@@ -174,7 +191,7 @@ def _encoder(path: str) -> ChunkEncoder:
 def _digest_rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        for batch in slices(batches, most_bytes=4 << 20):
+        for batch in slices(batches, most_bytes=1 << 20):
             n, a, b = [], [], []
             for ids, back in enc.encode_batch(utf8(batch.column("text"))):
                 n.append(len(ids) // 4)
@@ -188,7 +205,7 @@ def _digest_rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _token_rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        for batch in slices(batches, most_bytes=4 << 20):
+        for batch in slices(batches, most_bytes=1 << 20):
             got = list(enc.encode_batch(utf8(batch.column("text"))))
             ids = [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got]
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
@@ -206,11 +223,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """Token ids and the text decoded from them: (doc_id, ids array<int>, decoded string)."""
     src = _source(docs, id_col, text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_token_rows(tokenizer_path), f"doc_id {kind}, ids array<int>, decoded string")
+    return mapped(src, _token_rows(tokenizer_path), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode_documents, with counts and SHA-256 digests instead of the ids and texts themselves."""
     src = _source(docs, id_col, text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_digest_rows(tokenizer_path), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(src, _digest_rows(tokenizer_path), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

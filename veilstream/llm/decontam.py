@@ -7,24 +7,29 @@ all windows would take. A text is scanned once in its normalised form; where an
 the text to both sides, and if eight or more words agree, all of them are hit. Offsets map back to the original text.
 
 The item table is read in blocks of bounded size, each with its own automaton, so that what is broadcast never exceeds
-the bound; blocks add their hits to the rows one after the other. Items longer than a block's share are cut into parts
-that overlap by seven words, which loses no window.
+the bound. One block is the usual case: hits and results are made in the same pass. With several, each block's pass over
+the texts writes the hits only, by a hash of the text, and one join brings all hits to their rows. Items longer than a
+block's share are cut into parts that overlap by seven words, which loses no window.
 
 Defined cases: null text and null items have no words; rows of items with a null id mark words as hit but count as no
-item; repeated item ids count once; repeated documents give repeated rows; an empty item table leaves all clean.
+item; repeated item ids count once; repeated documents give repeated rows; an item that ties with others on the same
+words counts like each of them; very long texts and items are scanned whole; an empty item table leaves all clean, an
+empty document table gives an empty result; other columns of the documents and items are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import materialize, slices, utf8
+from veilstream.llm.common import mapped, materialize, slices, utf8
 
 WINDOW, ANCHOR = 8, 4
 STEP = WINDOW - ANCHOR + 1
@@ -70,9 +75,17 @@ def build(parts: list[tuple[object, str]]) -> ahocorasick.Automaton:
 
 def _reach(a: str, i: int, b: str, j: int, step: int) -> int:
     """How many characters agree from a[i] and b[j] on, rightwards or leftwards."""
-    n, most = 0, min(len(a) - i, len(b) - j) if step > 0 else min(i, j) + 1
-    while n < most and a[i + n * step] == b[j + n * step]:
-        n += 1
+    n, most, size = 0, min(len(a) - i, len(b) - j) if step > 0 else min(i, j) + 1, 32
+    while size and n < most:
+        take = min(size, most - n)
+        if step > 0:
+            same = a.startswith(b[j + n : j + n + take], i + n)
+        else:
+            same = a.startswith(b[j - n - take + 1 : j - n + 1], i - n - take + 1)
+        if same:
+            n, size = n + take, 2 * size
+        else:
+            size = take // 2
     return n
 
 
@@ -127,32 +140,61 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 #: The task's last parts and their automaton; the parts are held, so that another list is never taken for them.
 _BUILT: list = [None, None]
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())]))
+#: A hit: (start, end, item as text); byte offsets in the normalised text.
+Hit = tuple[int, int, str | None]
+_HITS = "array<struct<start:bigint,end:bigint,item:string>>"
+
 
+def _hits(shared) -> Callable[[list[bytes]], list[list[Hit]]]:
+    def run(raws: list[bytes]) -> list[list[Hit]]:
+        parts = shared.value
+        if _BUILT[0] is not parts:
+            _BUILT[:] = [parts, build(parts)]
+        return [[(a, b, None if i is None else str(i)) for a, b, i in find(normalise(raw), _BUILT[1], parts)] for raw in raws]
 
-def with_hits(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """docs (doc_id, text) with hits: array of (start, end, item), byte offsets in the normalised text, items as text."""
+    return run
+
+
+def with_hits(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, finish: Callable[[pa.RecordBatch, list[bytes], list[list[Hit]]], pa.RecordBatch], schema, block_bytes: int = 2 << 20) -> DataFrame:
+    """finish(batch, texts, hits) of every batch of docs (doc, text)."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text", F.array().cast("array<struct<start:bigint,end:bigint,item:string>>").alias("hits"))
-    for number, parts in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
-        shared = spark.sparkContext.broadcast(parts)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            parts = shared.value
-            if _BUILT[0] is not parts:
-                _BUILT[:] = [parts, build(parts)]
-            automaton = _BUILT[1]
+    blocks = (spark.sparkContext.broadcast(parts) for parts in item_blocks(items, item_id, item_text, block_bytes))
+    first = list(itertools.islice(blocks, 2))
+    if len(first) < 2:
+        search = _hits(first[0]) if first else lambda raws: [[] for _ in raws]
+
+        def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                hits = batch.column("hits").to_pylist()
-                for k, raw in enumerate(utf8(batch.column("text"))):
-                    hits[k] = hits[k] + [{"start": a, "end": b, "item": None if i is None else str(i)} for a, b, i in find(normalise(raw), automaton, parts)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hits, _SPANS)], names=["doc_id", "text", "hits"])
-
-        if number:  # one automaton at a time in a task
-            out = materialize(out, "decontam")
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, hits array<struct<start:bigint,end:bigint,item:string>>")
-    return out
+                raws = utf8(batch.column("text"))
+                yield finish(batch, raws, search(raws))
+
+        return mapped(docs, at_once, schema)
+    keyed = docs.withColumn("key", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.octet_length("text").alias("n")))
+    kind = keyed.schema["key"].dataType.simpleString()
+    found = []
+    for shared in itertools.chain(first, blocks):
+
+        def one(batches: Iterator[pa.RecordBatch], search=_hits(shared)) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                hits = search(utf8(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(_records(hits), _SPANS)], names=["key", "hits"]).filter(pa.array([bool(h) for h in hits], pa.bool_()))
+
+        found.append(materialize(mapped(keyed.select("key", "text"), one, f"key {kind}, hits {_HITS}").distinct(), "hits"))
+    hits = reduce(DataFrame.union, found).groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            known = [[(h["start"], h["end"], h["item"]) for h in row or ()] for row in batch.column("hits").to_pylist()]
+            yield finish(batch, utf8(batch.column("text")), known)
+
+    return mapped(keyed.join(hits, "key", "left").select("doc", "text", "hits"), after, schema)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())]))
+
+
+def _records(hits: list[list[Hit]]) -> list[list[dict]]:
+    return [[{"start": a, "end": b, "item": i} for a, b, i in row] for row in hits]
 
 
 def original_offsets(raw: bytes, spans: list[list[int]]) -> list[tuple[int, int]]:
@@ -173,55 +215,51 @@ def original_offsets(raw: bytes, spans: list[list[int]]) -> list[tuple[int, int]
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_items: int = 2) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_items: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
     """One row for each document: counts, digest of the items found, verdict, and the hit spans of the original text."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in slices(batches):
-            rows = []
-            for raw, hits in zip(utf8(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
-                spans = merged([(h["start"], h["end"]) for h in hits])
-                found = sorted({h["item"] for h in hits if h["item"] is not None})
-                text = normalise(raw)
-                n_hit = sum(text.count(" ", a, b) for a, b in spans)
-                rows.append((text.count(" ") - 1, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), len(found) >= least_items, [{"start": a, "end": b} for a, b in original_offsets(raw, spans)] if spans else []))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), spans_type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-
-    return with_hits(src, items, item_id, item_text).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>")
-
-
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_items: int = 2) -> DataFrame:
+    src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    kind = src.schema["doc"].dataType.simpleString()
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
+    def finish(batch: pa.RecordBatch, raws: list[bytes], hits: list[list[Hit]]) -> pa.RecordBatch:
+        rows = []
+        for raw, row in zip(raws, hits, strict=True):
+            spans = merged([(a, b) for a, b, _ in row])
+            found = sorted({i for _, _, i in row if i is not None})
+            text = normalise(raw)
+            n_hit = sum(text.count(" ", a, b) for a, b in spans)
+            rows.append((text.count(" ") - 1, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), len(found) >= least_items, [{"start": a, "end": b} for a, b in original_offsets(raw, spans)] if spans else []))
+        return pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", *names])
+
+    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>"
+    return with_hits(src, items, item_id, item_text, finish, schema, block_bytes)
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_items: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
     """docs without its contaminated rows; from other rows the words that an item's window hits are cut out.
 
     The columns of docs stay as they are but for the text of a cut row, and n_chars, if docs has it, which counts it anew.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).cast("string").alias("text"))
     names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            hits = batch.column("hits").to_pylist()
-            keep = [len({h["item"] for h in row if h["item"] is not None}) < least_items for row in hits]
-            struct = batch.column("doc_id")
-            columns = dict(zip(names, struct.flatten(), strict=True))
-            if any(row for row, yes in zip(hits, keep, strict=True) if yes):
-                texts = batch.column("text").to_pylist()
-                touched = [bool(row) for row in hits]
-                for k, row in enumerate(hits):
-                    if row and keep[k]:
-                        spans, at, parts = original_offsets(texts[k].encode(), merged([(h["start"], h["end"]) for h in row])), 0, []
-                        for a, b in spans:
-                            parts.append(texts[k][at:a])
-                            at = b
-                        texts[k] = "".join([*parts, texts[k][at:]])
-                columns[text_col] = pa.array(texts, pa.string())
-                if "n_chars" in columns:
-                    counts = columns["n_chars"].to_pylist()
-                    columns["n_chars"] = pa.array([len(t) if yes else n for t, yes, n in zip(texts, touched, counts, strict=True)], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
-
-    return with_hits(packed, items, item_id, item_text).mapInArrow(run, docs.schema)
+    def finish(batch: pa.RecordBatch, raws: list[bytes], hits: list[list[Hit]]) -> pa.RecordBatch:
+        keep = [len({i for _, _, i in row if i is not None}) < least_items for row in hits]
+        columns = dict(zip(names, batch.column("doc").flatten(), strict=True))
+        touched = {k for k, row in enumerate(hits) if row and keep[k]}
+        if touched:
+            texts = batch.column("text").to_pylist()
+            for k in touched:
+                at, parts = 0, []
+                for a, b in original_offsets(raws[k], merged([(a, b) for a, b, _ in hits[k]])):
+                    parts.append(texts[k][at:a])
+                    at = b
+                texts[k] = "".join([*parts, texts[k][at:]])
+            columns[text_col] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                counts = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([len(t) if k in touched else n for k, (t, n) in enumerate(zip(texts, counts, strict=True))], columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return with_hits(packed, items, item_id, item_text, finish, docs.schema, block_bytes)

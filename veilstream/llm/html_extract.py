@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import slices
+from veilstream.llm.common import mapped, slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -268,4 +268,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             got = [main_text(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([g[0] for g in got], pa.string()), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_content"])
 
-    return src.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint, n_blocks bigint, n_content bigint")
+    return mapped(src, run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint, n_blocks bigint, n_content bigint")

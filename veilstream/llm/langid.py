@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import slices
+from veilstream.llm.common import mapped, slices
 
 GRAMS = 3
 COLUMN_BITS = 18
@@ -157,7 +157,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
         return None
     df = np.zeros(1 << COLUMN_BITS)
     total = 0
-    for r in labelled.select("text").mapInArrow(_frequencies, "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+    for r in mapped(labelled.select("text"), _frequencies, "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         if r["col"] < 0:
             total = r["n"]
         else:
@@ -167,7 +167,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit"))
     share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, 1.5 * each / n))) for name, n in sorted(sizes.items())])
     chosen = labelled.select("text", "lang", draw.alias("draw")).where((F.pmod(F.col("draw"), F.lit(1_000_003)) / 1_000_003.0) < share)
-    got = chosen.mapInArrow(_sampled, "lang string, draw bigint, cols array<int>, counts array<int>").toArrow().sort_by([("draw", "ascending")])
+    got = mapped(chosen, _sampled, "lang string, draw bigint, cols array<int>, counts array<int>").toArrow().sort_by([("draw", "ascending")])
     taken: dict[str, int] = {}
     rows = []
     for name, cols, counts in zip(got.column("lang").to_pylist(), got.column("cols"), got.column("counts"), strict=True):
@@ -185,22 +185,25 @@ class Predictor:
         self.idf2 = model.idf**2
         self.table = (model.idf[:, None] * model.weights).astype(np.float32)
 
-    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, its score, and the share of its n-grams that the training rows have."""
         m = self.model
         cols, spans, has = hashed(texts)
-        names, scores = [], []
+        names, scores, known = [], [], []
         for (a, b), yes in zip(spans.tolist(), has.tolist(), strict=True):
             if not yes:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                known.append(0.0)
                 continue
             c, k = self.distinct(cols[a:b])
+            known.append(float(k @ (self.idf2[c] > 0)) / (b - a))
             norm = np.sqrt((k.astype(float) ** 2) @ self.idf2[c])
             p = softmax(((k @ self.table[c]) / max(1e-12, norm) + m.bias) / m.temperature)
             best = int(p.argmax())
             names.append(m.languages[best])
             scores.append(float(p[best]))
-        return names, scores
+        return names, scores, known
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -214,25 +217,30 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for batch in slices(batches, most_bytes=_SLICE):
-            names, scores = predictor([t or "" for t in batch.column("text").to_pylist()])
+            names, scores, _ = predictor([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carried, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return mapped(docs, run, f"{schema}, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, model: Model | None, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a known language with at least least_score."""
+def accept(docs: DataFrame, model: Model | None, least_share: float, least_known: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a learned language.
+
+    Its score is at least least_share times an even share among the learned languages, and at least least_known of the
+    text's n-grams are among those of the training rows.
+    """
     if model is None:
         return docs.where(F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    least_score = min(1.0, least_share / len(model.languages)) if len(model.languages) > 1 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for batch in slices(batches, text_col, _SLICE):
-            names, scores = predictor([t or "" for t in batch.column(text_col).to_pylist()])
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            got = predictor([t or "" for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score and k >= least_known for n, s, k in zip(*got, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import slices, utf8
+from veilstream.llm.common import mapped, slices, utf8
 
 #: Identifiers and the customary wording of public license notices.
 TEMPLATES: list[tuple[str, str]] = [
@@ -203,4 +203,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             sure = [sum(b["license"] is not None for b in f) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(sure, pa.int64()), pa.array(found, pa.list_(block))], names=["doc_id", "n_blocks", "licenses", "n_confirmed", "blocks"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, n_blocks bigint, licenses array<string>, n_confirmed bigint, blocks array<struct<offset:bigint,length:bigint,license:string,saved:double,differences:bigint>>")
+    return mapped(src, run, f"doc_id {kind}, n_blocks bigint, licenses array<string>, n_confirmed bigint, blocks array<struct<offset:bigint,length:bigint,license:string,saved:double,differences:bigint>>")

@@ -1,17 +1,22 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
-A line descends the tree by its number of tokens and its leading tokens to a leaf; tokens with a digit, an @ or a ://
-are variable fields and stand as <*>. A line's templates at its leaf are its masked tokens as a whole and, from
-2 * HALF tokens on, its two halves: a half that recurs with as many tokens around it is a template whose other half is
-the variable field. Each template is identified by 96 bits of hashes of the leaf's path and its own tokens.
-
-A template recurs if documents with different ids have it; its lines are dropped from all of them but the one with the
-smallest id, so that no passage is lost. Templates without a letter are none. Recurrence is found by one aggregation of
-hashes; texts are shuffled once, to be put together without the dropped lines.
+A text is read as records: a line, or, of a line with LONG blanks or more, each sentence of LEAST_SENTENCE tokens or more
+with the shorter ones before it, so that a passage that recurs inside a long line is found by itself and what stands
+beside it stays. Tokens with a digit, an @ or a :// are
+variable fields and stand as <*>. A record descends the tree by its number of tokens and its leading token to a leaf. The
+leaf's templates are the masked tokens as a whole and, for lines of at least LEAST_WILD tokens, the tokens with one more
+variable field: the tokens behind the leading one fall into FIELDS stretches, and each stretch in turn is the field.
+Lines of a leaf that differ within one stretch thus share a template, and two thirds of their tokens or more. Each template is identified by 96 bits of hashes of its leaf and tokens.
+
+A template recurs if documents with different ids have it; its records are dropped from all of them but the one with the
+smallest id. Templates without a letter are none. Recurrence is found by one aggregation of hashes with partial sums, so
+a template in most documents is no hot spot there; texts are shuffled once, to be put together without dropped records.
 
 Defined cases: null text stays null with no lines; an empty text is one empty line, which is kept; rows with a null
-doc_id keep all their lines; rows that repeat a doc_id count as one document; a line that repeats within one document
-only is kept; other columns pass through keep_columns unchanged, whatever their names.
+doc_id keep all their lines; rows that repeat a doc_id count as one document; a record that repeats within one document
+only is kept; a long line that loses all its sentences leaves an empty line; very long texts and lines are read whole;
+of documents that tie for a template the smallest id keeps it; an empty table gives an empty result; other columns pass
+through keep_columns unchanged, whatever their names, but n_lines and n_dropped, which are this operator's.
 """
 
 from __future__ import annotations
@@ -19,68 +24,132 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import materialize
+from veilstream.llm.common import discard, materialize
+
+LONG = 23
+LEAST_SENTENCE = 6
+LEAST_WILD = 4
+FIELDS = 4
+VARIABLE = r"(?<![^ \t\r\f\n])(?:[^ \t\r\f\n0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ \t\r\f\n]*"  # a whole token, met at its start only
+SENTENCE_END = r"(?<=[.!?] )"
+
+
+def _blanks(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sentences(line: Column) -> Column:
+    """A long sentence with the short ones before it, and the last with those behind it too; a line without one as a whole."""
+
+    def grouped(parts: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: _blanks(F.rtrim(F.get(parts, k))) >= LEAST_SENTENCE - 1)
+
+        def joined(ends: Column) -> Column:
+            def piece(k: Column) -> Column:
+                start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
+                end = F.when(k == F.size(ends) - 1, F.size(parts)).otherwise(F.get(ends, k) + 1)
+                return F.array_join(F.slice(parts, start + 1, end - start), "")
+
+            return F.when(F.size(ends) == 0, F.array(line)).otherwise(F.transform(F.sequence(F.lit(0), F.size(ends) - 1), piece))
+
+        return _bound(ends, joined)
+
+    return _bound(F.split(line, SENTENCE_END, -1), grouped)
 
-HALF = 12
-VARIABLE = r"(?<![^ \t\r\f])(?:[^ \t\r\f0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ \t\r\f]*"  # a whole token, met at its start only
-BLANKS = r"[ \t\r\f]+"
 
+def records(text: Column) -> Column:
+    """The records of a text with what separates them; a line ends with its line end, a part of a long line does not."""
 
-def masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9@:]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    def parts(line: Column) -> Column:
+        return F.when(_blanks(line) >= LONG, F.concat(_sentences(line), F.array(F.lit("\n")))).otherwise(F.array(F.concat(line, F.lit("\n"))))
+
+    return F.flatten(F.transform(F.split(text, "\n", -1), parts))
 
 
 def _hashes(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.hash(*parts).alias("b"))
 
 
-def template_ids(lines: DataFrame) -> DataFrame:
-    """lines (..., line) with ids: the template hashes of each line, null where it has none.
+def _wild(tokens: Column, n: Column) -> Column:
+    """The templates with one stretch of the tokens behind the first as a field."""
+    fields = F.least(F.lit(FIELDS), n - 1)
+    at = lambda k: F.floor((n - 1) * k / fields).cast("int")
+    return F.transform(F.sequence(F.lit(0), fields - 1), lambda k: _hashes(k + 1, n, F.slice(tokens, 1, at(k) + 1), F.slice(tokens, at(k + 1) + 2, n)))
+
 
-    Each step is a column of its own, used more than once by the next, so that it is worked out once for a line; a
-    filter here would be pushed below them and repeat them.
+def template_ids(rows: DataFrame) -> DataFrame:
+    """rows (..., record) with ids: the template hashes of each record, null where it has none.
+
+    Each step is a column of its own, used more than once by the next, so that it is worked out once for a record.
     """
-    out = lines.withColumn("plain", masked(F.col("line"))).drop("line")
-    p = F.col("plain")  # byte searches, cheaper than a pattern
-    out = out.withColumn("odd", p.contains("  ") | p.contains("\t") | p.contains("\r") | p.contains("\f") | p.startswith(" ") | p.endswith(" "))
-    out = out.withColumn("tokens", F.when(F.col("odd"), F.trim(F.regexp_replace("plain", BLANKS, " "))).otherwise(F.col("plain"))).drop("plain", "odd")
-    letters = F.when(F.col("tokens").contains("<*>"), F.replace("tokens", F.lit("<*>"), F.lit(""))).otherwise(F.col("tokens")).rlike(r"\p{L}")
-    out = out.withColumn("n", F.when(letters, F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1))
-    half = F.floor((F.col("n") + 1) / 2).cast("int")
-    out = out.withColumns({"left": F.when(F.col("n") >= 2 * HALF, F.call_function("substring_index", F.col("tokens"), F.lit(" "), half)), "right": F.when(F.col("n") >= 2 * HALF, F.call_function("substring_index", F.col("tokens"), F.lit(" "), half - F.col("n")))})
-    whole, first, second = _hashes(F.lit(0), F.col("tokens")), _hashes(F.lit(1), F.col("n"), F.col("left")), _hashes(F.lit(2), F.col("n"), F.col("right"))
-    ids = F.when(F.col("n") >= 2 * HALF, F.array(whole, first, second)).when(F.col("n").isNotNull(), F.array(whole))
-    return out.withColumn("ids", ids).drop("tokens", "n", "left", "right")
+    r = F.col("record")
+    out = rows.withColumn("line", r.endswith("\n"))
+    out = out.withColumn("plain", F.when(r.rlike("[0-9@:]"), F.regexp_replace(r, VARIABLE, "<*>")).otherwise(r)).drop("record")
+    out = out.withColumn("body", F.btrim("plain", F.lit(" \t\r\f\n"))).drop("plain")
+    out = out.withColumn("tokens", F.when(F.col("body").rlike(r"  |[\t\r\f]"), F.regexp_replace("body", r"[ \t\r\f]+", " ")).otherwise(F.col("body"))).drop("body")
+    out = out.withColumn("n", F.when(F.col("tokens").rlike(r"\p{L}"), _blanks(F.col("tokens")) + 1))
+    whole = F.array(_hashes(F.lit(0), F.col("n"), F.col("tokens")))
+    wild = F.concat(whole, _wild(F.split("tokens", " "), F.col("n")))
+    ids = F.when(F.col("line") & (F.col("n") >= LEAST_WILD), wild).when(F.col("line") & (F.col("n") >= 1) | (F.col("n") >= LEAST_SENTENCE), whole)
+    return out.withColumn("ids", ids).drop("tokens", "n", "line")
 
 
 def _kept(text: Column, dropped: Column) -> Column:
-    """text without the lines at the ascending positions dropped: the stretches between them, put together."""
+    """text without the records at the ascending positions dropped: the stretches between them, put together."""
 
-    def between(lines: Column) -> Column:  # bound as a variable, so that the text is split once
+    def between(rows: Column) -> Column:
         after = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(dropped, k - 1))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda k: F.slice(lines, after(k) + 2, F.coalesce(F.get(dropped, k), F.size(lines)) - after(k) - 1)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda k: F.slice(rows, after(k) + 2, F.coalesce(F.get(dropped, k), F.size(rows)) - after(k) - 1)))
 
-    return F.array_join(F.get(F.transform(F.array(F.split(text, "\n", -1)), between), F.lit(0)), "\n")
+    return F.regexp_replace(F.array_join(_bound(records(text), between), ""), r"\n\z", "")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
-    """docs (id, text and keep_columns) with the recurring lines gone from text, and n_lines and n_dropped."""
-    carried = [c for c in keep_columns or [] if c not in (id_col, text_col)]
+def _with_drops(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """(__id, __text, __c0.. the carried columns, dropped: positions of the records that go, or null)."""
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)))
     src = src.withColumn("__hash", F.xxhash64("__text"))
-    lines = src.select("__id", "__hash", F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
-    rows = template_ids(lines).select("__id", "__hash", "pos", F.explode("ids").alias("t")).select("__id", "__hash", "pos", "t.a", "t.b")
-    rows = materialize(rows, "templates")
+    # The outer forms, as explode alone brings a filter on its input, which would be pushed down and repeat every step.
+    rows = template_ids(src.select("__id", "__hash", F.posexplode_outer(records(F.col("__text"))).alias("pos", "record")))
+    rows = rows.select("__id", "__hash", "pos", F.explode_outer("ids").alias("t")).where("t is not null")
+    rows = materialize(rows.select("__id", "__hash", "pos", "t.a", "t.b"), "templates")
     found = rows.groupBy("a", "b").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
     drops = rows.join(found, ["a", "b"]).where(F.col("__id") > F.col("first"))
-    drops = drops.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    joined = src.join(drops, ["__id", "__hash"], "left")
-    text = F.when(F.col("dropped").isNull(), F.col("__text")).otherwise(_kept(F.col("__text"), F.col("dropped")))
+    drops = materialize(drops.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped")), "dropped")
+    discard(rows)
+    return src.join(drops, ["__id", "__hash"], "left").drop("__hash")
+
+
+def _text() -> Column:
+    return F.when(F.col("dropped").isNull(), F.col("__text")).otherwise(_kept(F.col("__text"), F.col("dropped")))
+
+
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
+    """docs (id, text and keep_columns) with the recurring records gone from text, and n_lines and n_dropped."""
+    carried = [c for c in keep_columns or [] if c not in (id_col, text_col, "n_lines", "n_dropped")]
     n_lines = F.octet_length("__text") - F.octet_length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1
-    return joined.select(
+    return _with_drops(docs, id_col, text_col, carried).select(
         F.col("__id").alias(id_col),
-        text.alias(text_col),
+        _text().alias(text_col),
         *(F.col(f"__c{k}").alias(c) for k, c in enumerate(carried)),
         F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"),
         F.greatest(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns as they are, with the recurring records gone from text; without the rows of which no letter is left thereby.
+
+    n_chars, if docs has it, counts the texts of changed rows anew.
+    """
+    carried = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = _with_drops(docs, id_col, text_col, carried).withColumn("__new", _text())
+    out = out.where(F.col("dropped").isNull() | F.col("__new").rlike(r"\p{L}"))
+    made = {id_col: F.col("__id"), text_col: F.col("__new")} | {c: F.col(f"__c{k}") for k, c in enumerate(carried)}
+    if "n_chars" in carried:
+        made["n_chars"] = F.when(F.col("dropped").isNull(), made["n_chars"]).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(made[c].alias(c) for c in docs.columns))

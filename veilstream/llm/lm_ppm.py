@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import materialize, slices, utf8
+from veilstream.llm.common import mapped, materialize, slices, utf8
 
 ORDER = 6
 SHARE = 1 << 20
@@ -229,7 +229,7 @@ def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
 
 def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Counts (kind, key, n) of all words and grams of docs, as a written table."""
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "kind int, key bigint, n bigint")
+    counted = mapped(docs.select(F.col(text_col).cast("string").alias("text")), _count, "kind int, key bigint, n bigint")
     return materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
@@ -312,7 +312,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             none = [pa.nulls(len(rare), batch.schema.field("doc_id").type if name == "doc_id" else t) for name, t in zip(names[1:7], types[1:7], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows[doc[rare]]), *none, pa.array(key[rare]), pa.array(tf[rare])], names=names)
 
-    partial = src.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, key bigint, tf bigint")
+    partial = mapped(src, run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, key bigint, tf bigint")
     other = words.where(F.col("n") < least)
     joined = partial.join(other, "key", "left")
     known = F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(F.lit(0))

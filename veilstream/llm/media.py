@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import slices, utf8
+from veilstream.llm.common import mapped, slices, utf8
 
 
 def _riff(kind: bytes) -> Callable[[bytes, int], int | None]:
@@ -264,7 +264,7 @@ def sniff_column(df: DataFrame, payload: str, declared: str | None = None, id_co
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("declared"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.bool_(), kind_of)))], names=["id", "declared", "media_type", "corrected", "valid", "carved"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, declared string, media_type string, corrected boolean, valid boolean, carved array<struct<type:string,offset:bigint,length:bigint,bytes:binary>>").withColumnRenamed("id", id_col)
+    return mapped(src, run, f"id {kind}, declared string, media_type string, corrected boolean, valid boolean, carved array<struct<type:string,offset:bigint,length:bigint,bytes:binary>>").withColumnRenamed("id", id_col)
 
 
 def _features(media: bytes) -> tuple[bytes, str]:
@@ -294,4 +294,4 @@ def store_and_sniff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return mapped(src, run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -22,18 +22,22 @@ from d left join words using (rid) left join items using (rid)
 
 OP5 = r"""
 with ordered as (select row_number() over () as rid, doc_id, text from documents),
-lines as (select rid, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from ordered where text is not null),
-masked as (select rid, doc_id, pos, regexp_replace(line, '[^ \t\r\f]*(?:[0-9@]|://)[^ \t\r\f]*', '<*>', 'g') as m from lines),
-tokens as (select rid, doc_id, pos, list_filter(regexp_split_to_array(m, '[ \t\r\f]+'), lambda x: x <> '') as t from masked where regexp_matches(replace(m, '<*>', ''), '\p{L}')),
-ids as (select rid, doc_id, pos, 'w' as kind, len(t) as n, t as key from tokens
-  union all select rid, doc_id, pos, 'a', len(t), t[1 : cast(ceil(len(t) / 2.0) as int)] from tokens where len(t) >= 24
-  union all select rid, doc_id, pos, 'b', len(t), t[cast(ceil(len(t) / 2.0) as int) + 1 : len(t)] from tokens where len(t) >= 24),
-found as (select kind, n, key, min(doc_id) as f from ids group by 1, 2, 3 having min(doc_id) < max(doc_id)),
-drops as (select distinct rid, pos from ids join found using (kind, n, key) where doc_id > f),
-kept as (select l.rid, string_agg(line, chr(10) order by l.pos) as text, count(*) as n from lines l left join drops d on l.rid = d.rid and l.pos = d.pos where d.rid is null group by 1)
-select doc_id, case when o.text is null then null else coalesce(k.text, '') end as text,
-       cast(coalesce(len(string_split(o.text, chr(10))), 0) as bigint) as n_lines,
-       cast(coalesce(len(string_split(o.text, chr(10))), 0) - coalesce(k.n, 0) as bigint) as n_dropped
+lines as (select rid, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ln from ordered where text is not null),
+split as (select rid, doc_id, ln, line, strlen(line) - strlen(replace(line, ' ', '')) >= 23 as long, regexp_extract_all(line, '(?s).*?[.!?] |.+$') as s from lines),
+ended as (select *, list_filter(range(1, len(s) + 1), lambda i: strlen(rtrim(s[i])) - strlen(replace(rtrim(s[i]), ' ', '')) >= 5) as e from split),
+parts as (select rid, doc_id, ln, case when not long then [line || chr(10)] when len(e) = 0 then [line, chr(10)]
+  else list_transform(range(1, len(e) + 1), lambda k: array_to_string(s[case when k = 1 then 1 else e[k - 1] + 1 end : case when k = len(e) then len(s) else e[k] end], '')) || [chr(10)] end as p from ended),
+records as (select rid, doc_id, ln, unnest(p) as record, unnest(range(len(p))) as sub from parts),
+masked as (select *, suffix(record, chr(10)) as line, regexp_replace(record, '[^ \t\r\f\n]*(?:[0-9@]|://)[^ \t\r\f\n]*', '<*>', 'g') as m from records),
+tokens as (select rid, doc_id, ln, sub, line, list_filter(regexp_split_to_array(m, '[ \t\r\f\n]+'), lambda x: x <> '') as t from masked where regexp_matches(m, '\p{L}')),
+counted as (select *, len(t) as n, least(4, len(t) - 1) as f from tokens where line or len(t) >= 6),
+ids as (select rid, doc_id, ln, sub, 0 as kind, n, t as l, cast([] as varchar[]) as r from counted
+  union all select rid, doc_id, ln, sub, k + 1, n, t[1 : 1 + (n - 1) * k // f], t[2 + (n - 1) * (k + 1) // f : n] from (select *, unnest(range(0, f)) as k from counted where line and n >= 4)),
+found as (select kind, n, l, r, min(doc_id) as first from ids group by 1, 2, 3, 4 having min(doc_id) < max(doc_id)),
+drops as (select distinct rid, ln, sub from ids join found using (kind, n, l, r) where doc_id > first),
+kept as (select x.rid, string_agg(record, '' order by x.ln, x.sub) filter (where d.rid is null) as text, count(d.rid) as n from records x left join drops d on x.rid = d.rid and x.ln = d.ln and x.sub = d.sub group by 1)
+select doc_id, case when o.text is null then null when coalesce(k.n, 0) = 0 then o.text else regexp_replace(coalesce(k.text, ''), '\n\z', '') end as text,
+       cast(coalesce(len(string_split(o.text, chr(10))), 0) as bigint) as n_lines, cast(coalesce(k.n, 0) as bigint) as n_dropped
 from ordered o left join kept k using (rid)
 """
 

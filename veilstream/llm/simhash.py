@@ -26,16 +26,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from veilstream.llm.common import discard, materialize, slices, utf8
+from veilstream.llm.common import discard, mapped, materialize, slices, utf8
 from veilstream.llm.graph import connected
 
 BITS = 4
 #: First bit and mask of each segment.
 SEGMENTS = [(0, (1 << 21) - 1), (21, (1 << 21) - 1), (42, (1 << 22) - 1)]
 BLOCK = 4096
-#: Of keep_first: keys of each set of shingles, and least hashes in a key.
+#: Of keep_first: keys of each set of shingles, and least hashes in a key; shingles that a task holds of a side of a key.
 BANDS, ROWS = 32, 5
+CELL = 1 << 20
 
 
 def shingle_hashes(raw: bytes, width: int, seed: int) -> list[int]:
@@ -72,7 +74,7 @@ def fingerprint_documents(docs: DataFrame, keep: list[str], text_col: str = "tex
             fp = fingerprints_of(utf8(batch.column("__text")), width, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=[*keep, name])
 
-    return src.mapInArrow(run, f"{schema}, `{name}` bigint")
+    return mapped(src, run, f"{schema}, `{name}` bigint")
 
 
 def _filed(fps: DataFrame) -> DataFrame:
@@ -185,8 +187,8 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
             F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("fp"))).alias("one"),
             F.collect_list(F.when((F.col("own") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("fp"))).alias("two"),
         )
-        links = grouped.select("key", "one", "two").mapInArrow(_block_links, "a bigint, b bigint")
-    found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_run_links, "a bigint, b bigint")
+        links = mapped(grouped.select("key", "one", "two"), _block_links, "a bigint, b bigint")
+    found = mapped(usual.repartition("key").sortWithinPartitions("key"), _run_links, "a bigint, b bigint")
     return (found if links is None else found.union(links)).distinct()
 
 
@@ -196,7 +198,7 @@ def component_ids(prints: DataFrame, order: Column) -> DataFrame:
     labels = connected(link_fingerprints(firsts.select("fp")))
     if labels is None:
         return firsts.select("fp", F.col("own").alias("first"))
-    named = materialize(firsts.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "own", F.coalesce("label", "fp").alias("label")), "named")
+    named = materialize(firsts.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "own", F.coalesce("label", F.xxhash64("fp")).alias("label")), "named")
     discard(labels)
     discard(firsts)
     return named.join(named.groupBy("label").agg(F.min("own").alias("first")), "label").select("fp", "first")
@@ -227,24 +229,27 @@ def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sets(raws: list[bytes], width: int, seed: int) -> list[np.ndarray]:
+    return [np.unique(np.array(shingle_hashes(raw, width, seed), np.uint64)) for raw in raws]
+
+
 def _banded(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
-    """docs with __digest and __size of each text's set of shingles, and its __bands."""
-    src = docs.select(*docs.columns, F.col(text_col).cast("string").alias("__text"))
-    columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """(row, doc, digest, size, bands): docs' rows as they are, numbered, and of each text's set of shingles a digest, its size and its keys."""
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    at, kind = docs.columns.index(text_col), src.schema["doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", most_bytes=1 << 20):
-            sets = [np.unique(np.array(shingle_hashes(raw, width, seed), np.uint64)) for raw in utf8(batch.column("__text"))]
+        for batch in slices(batches, "doc", most_bytes=1 << 20):
+            sets = _sets(utf8(batch.column("doc").flatten()[at].cast(pa.string())), width, seed)
             sizes = np.array([len(s) for s in sets], np.int64)
             some = sizes[sizes > 0]
             keys = _bands(np.concatenate(sets), np.cumsum(some) - some) if len(some) else np.empty((0, BANDS), np.uint64)
             offsets = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), digest, pa.array(sizes), bands], names=[*columns, "__digest", "__size", "__bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), digest, pa.array(sizes), bands], names=["row", "doc", "digest", "size", "bands"])
 
-    return src.mapInArrow(run, f"{schema}, __digest binary, __size bigint, __bands array<bigint>")
+    return mapped(src, run, StructType([StructField("row", LongType()), kind, StructField("digest", BinaryType()), StructField("size", LongType()), StructField("bands", ArrayType(LongType()))]))
 
 
 def _verified(width: int, seed: int, least: float):
@@ -254,10 +259,10 @@ def _verified(width: int, seed: int, least: float):
         for whole in batches:
             for batch in slices(slices([whole], "one"), "two"):
                 yes = []
-                for a, one, two in zip(batch.column("a").to_pylist(), utf8(batch.column("one")), utf8(batch.column("two")), strict=True):
+                for a, one, two in zip(batch.column("a").to_pylist(), batch.column("one"), utf8(batch.column("two")), strict=True):
                     if a != last:
-                        last, held = a, np.unique(np.array(shingle_hashes(one, width, seed), np.uint64))
-                    other = np.unique(np.array(shingle_hashes(two, width, seed), np.uint64))
+                        last, held = a, _sets([(one.as_py() or "").encode()], width, seed)[0]
+                    other = _sets([two], width, seed)[0]
                     both = len(np.intersect1d(held, other, assume_unique=True))
                     yes.append(both >= least * (len(held) + len(other) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
@@ -265,30 +270,135 @@ def _verified(width: int, seed: int, least: float):
     return run
 
 
+def cell_links(nodes: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between members of different labels (and of different sides, where there are two) that connect all that are similar.
+
+    Members that a link or a label already connects are not compared, so a group of copies costs its size, not the square.
+    """
+    _, label = np.unique(np.array(labels), return_inverse=True)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, words = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    side, two = np.array(sides), len(set(sides)) > 1
+    mark = np.zeros(int(words.max(initial=0)) + 1, bool)
+    out, held = [], None
+    for i in range(len(nodes)):
+        at = (label[i], side[i] if two else 0)
+        if held is None or held[0] != at:  # whom members of this label and side are to be compared with
+            others = np.flatnonzero((label != label[i]) & (~two | (side != side[i])) & (sizes > 0))
+            flat = np.concatenate([words[ends[j] - sizes[j] : ends[j]] for j in others.tolist()]) if len(others) else words[:0]
+            held = (at, others, flat, np.cumsum(sizes[others]) - sizes[others])
+        _, others, flat, starts = held
+        if not len(others) or not sizes[i]:
+            continue
+        own = words[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
+        mark[own] = False
+        near = others[both >= least * (sizes[i] + sizes[others] - both)]
+        for j in near.tolist():
+            if label[j] != label[i]:
+                out.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+                held = None
+    return out
+
+
+def _cells(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, lo, hi, block, node, label, hashes) sorted by key, lo and hi; one cell is held at a time."""
+        cell, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = cell_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows], least)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "node", "label", "block")]
+            for key, lo, hi, node, label, block, hashes in zip(*columns, batch.column("hashes"), strict=True):
+                if (key, lo, hi) != cell:
+                    if len(rows) > 1:
+                        yield links()
+                    cell, rows = (key, lo, hi), []
+                rows.append((node, label, block, hashes.as_py()))
+        if len(rows) > 1:
+            yield links()
+
+    return run
+
+
+def _hashed(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most_bytes=1 << 20):
+            sets = _sets(utf8(batch.column("text")), width, seed)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+
+    return run
+
+
+def _dealt(tagged: DataFrame) -> DataFrame:
+    """(key, lo, hi, block, node, label): the members of keys with more than one label, dealt to cells of bounded size.
+
+    A key of at most CELL shingles is one cell. Of a larger one, the members of the label with most of them are dealt to
+    blocks that need not meet each other, the rest to blocks that meet all blocks.
+    """
+    by_label = tagged.groupBy("key", "label").agg(F.sum("size").alias("weight"))
+    plan = by_label.groupBy("key").agg(F.max(F.struct("weight", "label")).alias("top"), F.sum("weight").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda weight: F.ceil(weight / F.lit(CELL)).cast("int")
+    rows = tagged.join(plan, "key").withColumns({"major": F.col("label") == F.col("top.label"), "n": blocks(F.col("top.weight")), "m": blocks(F.col("total") - F.col("top.weight"))})
+    draw = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("total") <= CELL, 0).when(F.col("major"), draw(F.col("n"))).otherwise(F.col("n") + draw(F.col("m"))))
+    cell = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    own = F.col("block")
+    behind = F.sequence(F.col("n"), F.col("n") + F.col("m") - 1)
+    with_major = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda b: cell(b, own))
+    with_minor = F.transform(behind, lambda b: cell(F.least(b, own), F.greatest(b, own)))
+    cells = F.when(F.col("total") <= CELL, F.array(cell(F.lit(0), F.lit(0)))).when(F.col("major"), with_minor).otherwise(F.concat(with_major, with_minor))
+    return rows.select("key", "block", "node", "label", F.explode(cells).alias("cell")).select("key", "cell.lo", "cell.hi", "block", "node", "label")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
     """The rows of docs without those that have a near copy before them (by id, then by place): one row of each class.
 
-    Near copies are texts whose sets of shingles have a Jaccard similarity of least or more, and what these connect. Texts
-    with equal sets collapse first. Candidates meet in one of BANDS keys, each of ROWS least hashes: a pair at 0.8 meets
-    but for a chance of 3 in a million, and a closer one more surely. The texts of each candidate pair then decide.
+    Near copies are texts whose sets of shingles have a Jaccard similarity of least or more, and what these connect; a
+    fingerprint of 64 bits cannot tell 0.8 from less. Texts with equal sets collapse first. Candidates meet in one of BANDS
+    keys, each of ROWS least hashes: a pair at 0.8 meets but for a chance of 3 in a million, and a closer one more surely.
+    Each key's members are held against its first member, text by text. Keys whose members are then still in more than one
+    class are gone through in cells of bounded size, where members of different classes are compared and linked, so that
+    no link is lost and no group of near copies is expanded into its pairs.
+
+    Defined cases: null and empty texts are copies of each other; a null id comes last; repeated rows are copies; of equal
+    ids the row read first stays; an empty table gives an empty result; all columns are kept, whatever their names.
     """
-    placed = materialize(_banded(docs.withColumn("__row", F.monotonically_increasing_id()), text_col, width, seed), "placed")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    sets = placed.groupBy("__digest").agg(F.min(order).alias("own"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
+    placed = materialize(_banded(docs, text_col, width, seed), "placed")
+    order = F.struct(F.col("doc").getField(id_col).isNull().alias("none"), F.col("doc").getField(id_col).alias("id"), "row")
+    sets = placed.groupBy("digest").agg(F.min(order).alias("own"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     sets = materialize(sets.select("own", F.col("own.row").alias("node"), "size", "bands"), "sets")
     filed = sets.select("node", "size", F.explode("bands").alias("key"))
-    shared = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    met = materialize(filed.join(shared, "key", "left_semi"), "met")
-    a, b = (met.select("key", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b"))
-    pairs = materialize(a.join(b, "key").where(fits).select("a", "b").distinct(), "pairs")
-    texts = placed.select(F.col("__row"), F.col(text_col).cast("string").alias("text"))
-    nodes = pairs.select(F.col("a").alias("__row")).union(pairs.select(F.col("b").alias("__row"))).distinct()
-    texts = materialize(texts.join(nodes, "__row", "left_semi"), "near")
-    told = pairs.join(texts.select(F.col("__row").alias("b"), F.col("text").alias("two")), "b").join(texts.select(F.col("__row").alias("a"), F.col("text").alias("one")), "a")
-    labels = connected(told.select("a", "b", "one", "two").mapInArrow(_verified(width, seed, least), "a bigint, b bigint"))
+    shared = filed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    met = materialize(filed.join(shared, "key").select("key", "node", "size", F.col("lead.node").alias("a"), F.col("lead.size").alias("size_a")), "met")
+    fits = (F.col("a") < F.col("node")) & (F.least("size_a", "size") >= F.lit(least) * F.greatest("size_a", "size"))
+    pairs = materialize(met.where(fits).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    texts = placed.select(F.col("row").alias("node"), F.col("doc").getField(text_col).cast("string").alias("text"))
+    texts = materialize(texts.join(met.select("node").distinct(), "node", "left_semi"), "near")
+    told = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
+    links = materialize(mapped(told.select("a", "b", "one", "two"), _verified(width, seed, least), "a bigint, b bigint"), "links")
+    labels = connected(links)
+    label = F.xxhash64("node").alias("label")
+    tagged = met.select("key", "node", "size", label) if labels is None else met.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", F.xxhash64("node")).alias("label"))
+    tagged = materialize(tagged, "tagged")
+    cells = materialize(_dealt(tagged), "cells")
+    if not cells.isEmpty():
+        hashes = mapped(texts.join(cells.select("node").distinct(), "node", "left_semi"), _hashed(width, seed), "node bigint, hashes binary")
+        more = cells.join(hashes, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        more = materialize(mapped(more, _cells(least), "a bigint, b bigint"), "links")
+        if not more.isEmpty():
+            discard(labels)
+            labels = connected(links.union(more))
+        discard(more)
+    for done in (met, pairs, texts, links, tagged, cells):
+        discard(done)
     firsts = sets.select("own", "node")
     if labels is not None:
-        firsts = firsts.join(labels.select("node", "label"), "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("own").alias("own"))
-    kept = firsts.select(F.col("own.row").alias("__row"))
-    return placed.join(kept, "__row", "left_semi").select(*docs.columns)
+        firsts = firsts.join(labels, "node", "left").groupBy(F.coalesce("label", F.xxhash64("node")).alias("label")).agg(F.min("own").alias("own"))
+    return placed.join(firsts.select(F.col("own.row").alias("row")), "row", "left_semi").select("doc.*")
