@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
-A text is read as records: a line, or, of a line with LONG blanks or more, each sentence of LEAST_SENTENCE tokens or more
-with the shorter ones before it, so that a passage that recurs inside a long line is found by itself and what stands
+A text is read as records: a line, or, of a line of LONG bytes or more, each sentence of LEAST_SENTENCE bytes or more with
+the shorter ones before it, so that a passage that recurs inside a long line is found by itself and what stands
 beside it stays. Tokens with a digit, an @ or a :// are
 variable fields and stand as <*>. A record descends the tree by its number of tokens and its leading token to a leaf. The
 leaf's templates are the masked tokens as a whole and, for lines of at least LEAST_WILD tokens, the tokens with one more
@@ -26,16 +26,13 @@ from pyspark.sql import functions as F
 
 from veilstream.llm.common import discard, materialize
 
-LONG = 23
-LEAST_SENTENCE = 6
+#: Bytes of a long line and of a long sentence; tokens of a line that may have one more field; stretches that may be it.
+LONG, LEAST_SENTENCE = 140, 40
 LEAST_WILD = 4
 FIELDS = 4
 VARIABLE = r"(?<![^ \t\r\f\n])(?:[^ \t\r\f\n0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ \t\r\f\n]*"  # a whole token, met at its start only
 SENTENCE_END = r"(?<=[.!?] )"
-
-
-def _blanks(text: Column) -> Column:
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+SPECIAL = r"[0-9@:\t\r\f]"  # beside two spaces, what a text must have for variable fields or blanks other than single spaces
 
 
 def _bound(value: Column, use) -> Column:
@@ -47,7 +44,7 @@ def _sentences(line: Column) -> Column:
     """A long sentence with the short ones before it, and the last with those behind it too; a line without one as a whole."""
 
     def grouped(parts: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: _blanks(F.rtrim(F.get(parts, k))) >= LEAST_SENTENCE - 1)
+        ends = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.octet_length(F.get(parts, k)) >= LEAST_SENTENCE)
 
         def joined(ends: Column) -> Column:
             def piece(k: Column) -> Column:
@@ -66,7 +63,7 @@ def records(text: Column) -> Column:
     """The records of a text with what separates them; a line ends with its line end, a part of a long line does not."""
 
     def parts(line: Column) -> Column:
-        return F.when(_blanks(line) >= LONG, F.concat(_sentences(line), F.array(F.lit("\n")))).otherwise(F.array(F.concat(line, F.lit("\n"))))
+        return F.when(F.octet_length(line) >= LONG, F.concat(_sentences(line), F.array(F.lit("\n")))).otherwise(F.array(F.concat(line, F.lit("\n"))))
 
     return F.flatten(F.transform(F.split(text, "\n", -1), parts))
 
@@ -79,24 +76,31 @@ def _wild(tokens: Column, n: Column) -> Column:
     """The templates with one stretch of the tokens behind the first as a field."""
     fields = F.least(F.lit(FIELDS), n - 1)
     at = lambda k: F.floor((n - 1) * k / fields).cast("int")
-    return F.transform(F.sequence(F.lit(0), fields - 1), lambda k: _hashes(k + 1, n, F.slice(tokens, 1, at(k) + 1), F.slice(tokens, at(k + 1) + 2, n)))
+
+    def made(tokens: Column) -> Column:
+        kept = lambda k: F.struct(k, n, F.slice(tokens, 1, at(k) + 1), F.slice(tokens, at(k + 1) + 2, n))
+        return F.transform(F.transform(F.sequence(F.lit(0), fields - 1), kept), lambda part: _hashes(part))
+
+    return _bound(F.split(tokens, " "), made)
 
 
 def template_ids(rows: DataFrame) -> DataFrame:
-    """rows (..., record) with ids: the template hashes of each record, null where it has none.
+    """rows (..., record, special) with ids: the template hashes of each record, null where it has none.
 
-    Each step is a column of its own, used more than once by the next, so that it is worked out once for a record.
+    special: whether the record's text has anything SPECIAL. Each step is a column of its own, used more than once by the
+    next, so that it is worked out once for a record.
     """
     r = F.col("record")
     out = rows.withColumn("line", r.endswith("\n"))
-    out = out.withColumn("plain", F.when(r.rlike("[0-9@:]"), F.regexp_replace(r, VARIABLE, "<*>")).otherwise(r)).drop("record")
+    out = out.withColumn("plain", F.when(F.col("special") & r.rlike("[0-9@:]"), F.regexp_replace(r, VARIABLE, "<*>")).otherwise(r)).drop("record")
     out = out.withColumn("body", F.btrim("plain", F.lit(" \t\r\f\n"))).drop("plain")
-    out = out.withColumn("tokens", F.when(F.col("body").rlike(r"  |[\t\r\f]"), F.regexp_replace("body", r"[ \t\r\f]+", " ")).otherwise(F.col("body"))).drop("body")
-    out = out.withColumn("n", F.when(F.col("tokens").rlike(r"\p{L}"), _blanks(F.col("tokens")) + 1))
-    whole = F.array(_hashes(F.lit(0), F.col("n"), F.col("tokens")))
-    wild = F.concat(whole, _wild(F.split("tokens", " "), F.col("n")))
-    ids = F.when(F.col("line") & (F.col("n") >= LEAST_WILD), wild).when(F.col("line") & (F.col("n") >= 1) | (F.col("n") >= LEAST_SENTENCE), whole)
-    return out.withColumn("ids", ids).drop("tokens", "n", "line")
+    out = out.withColumn("tokens", F.when(F.col("special") & F.col("body").rlike(r"  |[\t\r\f]"), F.regexp_replace("body", r"[ \t\r\f]+", " ")).otherwise(F.col("body"))).drop("body", "special")
+    first = F.ascii("tokens")
+    out = out.withColumn("letters", first.between(65, 90) | first.between(97, 122) | F.col("tokens").rlike(r"\p{L}"))
+    out = out.withColumn("n", F.when(F.col("letters") & F.col("line"), F.octet_length("tokens") - F.octet_length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1))
+    whole = F.array(_hashes(F.lit(0), F.col("tokens")))
+    ids = F.when(F.col("n") >= LEAST_WILD, F.concat(whole, _wild(F.col("tokens"), F.col("n")))).when(F.col("letters"), whole)
+    return out.withColumn("ids", ids).drop("tokens", "n", "line", "letters")
 
 
 def _kept(text: Column, dropped: Column) -> Column:
@@ -114,7 +118,9 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str, carried: list[str])
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)))
     src = src.withColumn("__hash", F.xxhash64("__text"))
     # The outer forms, as explode alone brings a filter on its input, which would be pushed down and repeat every step.
-    rows = template_ids(src.select("__id", "__hash", F.posexplode_outer(records(F.col("__text"))).alias("pos", "record")))
+    text = F.col("__text")
+    rows = src.select("__id", "__hash", text, (text.contains("  ") | text.rlike(SPECIAL)).alias("special"))
+    rows = template_ids(rows.select("__id", "__hash", "special", F.posexplode_outer(records(text)).alias("pos", "record")))
     rows = rows.select("__id", "__hash", "pos", F.explode_outer("ids").alias("t")).where("t is not null")
     rows = materialize(rows.select("__id", "__hash", "pos", "t.a", "t.b"), "templates")
     found = rows.groupBy("a", "b").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")

@@ -23,14 +23,14 @@ from d left join words using (rid) left join items using (rid)
 OP5 = r"""
 with ordered as (select row_number() over () as rid, doc_id, text from documents),
 lines as (select rid, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ln from ordered where text is not null),
-split as (select rid, doc_id, ln, line, strlen(line) - strlen(replace(line, ' ', '')) >= 23 as long, regexp_extract_all(line, '(?s).*?[.!?] |.+$') as s from lines),
-ended as (select *, list_filter(range(1, len(s) + 1), lambda i: strlen(rtrim(s[i])) - strlen(replace(rtrim(s[i]), ' ', '')) >= 5) as e from split),
+split as (select rid, doc_id, ln, line, strlen(line) >= 140 as long, regexp_extract_all(line, '(?s).*?[.!?] |.+$') as s from lines),
+ended as (select *, list_filter(range(1, len(s) + 1), lambda i: strlen(s[i]) >= 40) as e from split),
 parts as (select rid, doc_id, ln, case when not long then [line || chr(10)] when len(e) = 0 then [line, chr(10)]
   else list_transform(range(1, len(e) + 1), lambda k: array_to_string(s[case when k = 1 then 1 else e[k - 1] + 1 end : case when k = len(e) then len(s) else e[k] end], '')) || [chr(10)] end as p from ended),
 records as (select rid, doc_id, ln, unnest(p) as record, unnest(range(len(p))) as sub from parts),
 masked as (select *, suffix(record, chr(10)) as line, regexp_replace(record, '[^ \t\r\f\n]*(?:[0-9@]|://)[^ \t\r\f\n]*', '<*>', 'g') as m from records),
 tokens as (select rid, doc_id, ln, sub, line, list_filter(regexp_split_to_array(m, '[ \t\r\f\n]+'), lambda x: x <> '') as t from masked where regexp_matches(m, '\p{L}')),
-counted as (select *, len(t) as n, least(4, len(t) - 1) as f from tokens where line or len(t) >= 6),
+counted as (select *, len(t) as n, least(4, len(t) - 1) as f from tokens),
 ids as (select rid, doc_id, ln, sub, 0 as kind, n, t as l, cast([] as varchar[]) as r from counted
   union all select rid, doc_id, ln, sub, k + 1, n, t[1 : 1 + (n - 1) * k // f], t[2 + (n - 1) * (k + 1) // f : n] from (select *, unnest(range(0, f)) as k from counted where line and n >= 4)),
 found as (select kind, n, l, r, min(doc_id) as first from ids group by 1, 2, 3, 4 having min(doc_id) < max(doc_id)),
