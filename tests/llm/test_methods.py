@@ -79,58 +79,76 @@ def test_pages_of_the_table(spark):
 # ---- 2: PPM
 
 
-def plain_ppm(training, text, order, least):
-    """Probabilities by walking down from the longest kept context, excluding what it keeps, with dictionaries."""
+def plain_ppm(training, text, order):
+    """Probabilities by walking down from the longest context seen, excluding its bytes, with dictionaries."""
     counts = collections.defaultdict(collections.Counter)
     for s in training:
         data = bytes([lm_ppm.END]) * order + s
         for i in range(order, len(data)):
             for k in range(order + 1):
                 counts[data[i - k : i]][data[i]] += 1
-    total = {c: sum(n.values()) for c, n in counts.items() if sum(n.values()) >= least}
-    kept = {c: {s: n for s, n in counts[c].items() if n >= least} for c in total}
     out, data, d = 0.0, bytes([lm_ppm.END]) * order + text, lm_ppm.DISCOUNT
     for i in range(order, len(data)):
         p, excluded, started = 1.0, set(), False
         for k in range(order, -1, -1):
             c = data[i - k : i]
-            if c not in total:
+            if c not in counts:
                 continue
             started = True
-            t = total[c] - sum(n for s, n in kept[c].items() if s in excluded)
-            own = {s: n for s, n in kept[c].items() if s not in excluded}
+            own = {s: n for s, n in counts[c].items() if s not in excluded}
+            t = sum(own.values())
             if data[i] in own:
                 p *= (own[data[i]] - d) / t
                 break
             if t > 0:
-                p *= (t - sum(own.values()) + d * len(own)) / t
-            excluded |= set(kept[c])
+                p *= d * len(own) / t
+            excluded |= set(counts[c])
         else:
             p *= 1 / (256 - len(excluded)) if started else 1 / 256
         out += np.log10(p)
     return out
 
 
-def test_ppm_against_plain(spark):
+@pytest.mark.parametrize("chunk, share", [(1 << 24, 64), (64, 3)])
+def test_ppm_against_plain(spark, monkeypatch, chunk, share):
+    monkeypatch.setattr(lm_ppm, "SHARE", share)
     rng = random.Random(2)
     text = lambda: " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 25)))
     rows = [(k, text()) for k in range(60)] + [(60, "zzz new"), (61, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    share = 400
-    out = {r["doc_id"]: r for r in lm_ppm.score_documents(docs, F.col("doc_id") % 3 == 0, share=share).collect()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1 if chunk > 64 else 20)
+    out = {r["doc_id"]: r for r in lm_ppm.score_documents(docs, F.col("doc_id") % 3 == 0).collect()}
     words = {k: (t or "").encode().lower().split() for k, t in rows}
     training = [lm_ppm.stream_of(words[k]) for k, _ in rows if k % 3]
-    least = max(1, -(-sum(map(len, training)) // share))
-    assert least > 1
     counts = collections.Counter(w for k, _ in rows if k % 3 for w in [*words[k], b""])
     total, kinds = sum(counts.values()), len(counts)
     for k, _ in rows:
         w = [*words[k], b""]
-        assert out[k]["score"] == pytest.approx(plain_ppm(training, lm_ppm.stream_of(words[k]), lm_ppm.ORDER, least))
+        assert out[k]["score"] == pytest.approx(plain_ppm(training, lm_ppm.stream_of(words[k]), lm_ppm.ORDER))
         assert out[k]["base_score"] == pytest.approx(sum(np.log10((counts[x] + 1) / (total + kinds + 1)) for x in w))
         assert (out[k]["n_tokens"], out[k]["n_known"], out[k]["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), total)
 
 
+def test_probabilities_add_up():
+    """In every context, seen or not, the probabilities of all bytes add up to one."""
+    rng = np.random.default_rng(3)
+    streams = [bytes(rng.integers(97, 101, 60).astype(np.uint8)) for _ in range(20)]
+    keys, counts = np.unique(lm_ppm.gram_keys(streams)[0], return_counts=True)
+    low = lm_ppm._summed((keys >> 8 * lm_ppm.ORDER << 8) | (keys & 255), counts)
+    model = lm_ppm.build_model(low, keys, counts)
+    for ctx in [*(keys[::37] >> 8).tolist(), *(int(x) for x in rng.integers(0, 1 << 48, 20)), int.from_bytes(b"abc\0\0\0", "big")]:
+        assert (10 ** lm_ppm.log_probabilities(model, (ctx << 8) | np.arange(256))).sum() == pytest.approx(1.0)
+
+
+def test_packing():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(-(1 << 63), 1 << 63, 5000))
+    assert (lm_ppm.unpack_keys(lm_ppm.pack_keys(keys)) == keys).all() and len(lm_ppm.unpack_keys(lm_ppm.pack_keys(keys[:0]))) == 0
+    values = rng.random(len(keys)).astype(np.float32)
+    look = lm_ppm.Lookup(keys, values)
+    at = rng.integers(0, len(keys), 20_000)
+    assert (look(keys[at]) == values[at]).all()
+
+
 # ---- 3: language
 
 
