@@ -67,10 +67,10 @@ def gram_keys(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(sizes + ORDER) - sizes
     starts = np.cumsum(sizes) - sizes
     at = np.arange(int(sizes.sum())) + np.repeat(first - starts, sizes)
-    key = data[at]
-    for back in range(ORDER, 0, -1):  # the most recent byte is the highest
-        key |= data[at - back] << 8 * (ORDER + 1 - back)
-    return key, starts
+    key = data.copy()
+    for back in range(1, ORDER + 1):  # the most recent byte is the highest
+        key[back:] |= data[: len(data) - back] << 8 * (ORDER + 1 - back)
+    return key[at], starts
 
 
 def group_of(keys: np.ndarray) -> np.ndarray:
@@ -132,16 +132,23 @@ class _Chunk:
     def __init__(self, number: int):
         self.number, self.size = number, 0
         self.grams, self.words, self.asked = Sums(), Counter(), set()
+        self.raw: dict[bool, list[np.ndarray]] = {True: [], False: []}
         self.rows: list[tuple] = []
 
+    def flush(self) -> None:
+        for learnt, held in self.raw.items():
+            if held:
+                keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                self.grams.add(keys, counts if learnt else np.zeros(len(keys), np.int64))
+
     def add(self, ids: pa.Array, held_out: list[bool], raws: list[bytes]) -> None:
         texts = [raw.lower().split() for raw in raws]
         streams = [stream_of(t) for t in texts]
         for learnt in (True, False):
             some = [k for k, h in enumerate(held_out) if h != learnt]
             if some:
-                keys, counts = np.unique(gram_keys([streams[k] for k in some])[0], return_counts=True)
-                self.grams.add(keys, counts if learnt else np.zeros(len(keys), np.int64))
+                self.raw[learnt].append(gram_keys([streams[k] for k in some])[0])
             for k in some:
                 if learnt:
                     self.words.update(texts[k])
@@ -152,12 +159,15 @@ class _Chunk:
         joined = b"".join(streams)
         self.rows.append((ids, held_out, [len(s) for s in streams], zstandard.ZstdCompressor(level=1).compress(joined)))
         self.size += len(joined)
+        if sum(map(len, self.raw[True])) + sum(map(len, self.raw[False])) > _MERGE:
+            self.flush()
 
     def batches(self, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         def row(grp: int, ids=None, held=None, sizes=None, blob=None, counts=None) -> pa.RecordBatch:
             listed = pa.array([None], pa.list_(id_type)) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([grp], pa.int32()), listed, pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([blob], pa.binary()), pa.array([counts], pa.binary())], names=_COLUMNS)
 
+        self.flush()
         for ids, held, sizes, blob in self.rows:
             yield row(_DOCS, ids, held, sizes, blob)
         words = {word_key(w): n for w, n in self.words.items()} | {k: 0 for k in map(word_key, self.asked - self.words.keys())}
@@ -326,7 +336,7 @@ class Part:
     def answer(self, keys: np.ndarray) -> np.ndarray:
         at, seen = _find(self.keys, keys)
         if self.grp >= GROUPS:
-            return np.where(seen, self.counts[at] if len(self.counts) else 0, 0).astype(np.float64)
+            return np.where(seen, self.counts[at] if len(self.counts) else 0, 0)
         out = np.empty(len(keys))
         if seen.any():
             out[seen] = self.logs[at[seen]]
@@ -346,7 +356,8 @@ def _answers(low):
                 if part is None or part.grp != grp:
                     part = Part(grp, low.value, np.empty(0, np.int64), np.empty(0, np.int64))
                 values = part.answer(unpack_keys(blob.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([grp], pa.int32()), pa.array([blob.as_py()], pa.binary()), pa.array([values.astype("<f4" if grp < GROUPS else "<f8").tobytes()], pa.binary())], names=["chunk", "grp", "blob", "counts"])
+                packed = pack(values.astype(np.float32).view(np.int32)) if grp < GROUPS else pack(values)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([grp], pa.int32()), pa.array([blob.as_py()], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "grp", "blob", "counts"])
 
     return run
 
@@ -389,11 +400,11 @@ class Lookup:
 class _Counts(dict):
     """Training counts by word, looked up by its hash when it is first met."""
 
-    def __init__(self, known: dict[int, float]):
+    def __init__(self, known: dict[int, int]):
         self.known = known
 
-    def __missing__(self, word: bytes) -> float:
-        n = self[word] = self.known.get(word_key(word), 0.0)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = self.known.get(word_key(word), 0)
         return n
 
 
@@ -408,10 +419,10 @@ def _scored(floor: float, tokens: int):
                 blob = batch.column("blob")[at].as_py()
                 if grp < GROUPS:
                     keys.append(unpack_keys(blob))
-                    values.append(np.frombuffer(batch.column("counts")[at].as_py(), "<f4"))
+                    values.append(unpack(batch.column("counts")[at].as_py()).astype(np.int32).view(np.float32))
                     continue
                 if grp < _DOCS:
-                    known.update(zip(unpack_keys(blob).tolist(), np.frombuffer(batch.column("counts")[at].as_py(), "<f8").tolist(), strict=True))
+                    known.update(zip(unpack_keys(blob).tolist(), unpack(batch.column("counts")[at].as_py()).tolist(), strict=True))
                     continue
                 if lookup is None:
                     lookup, counts = Lookup(np.concatenate(keys), np.concatenate(values)), _Counts(known)
@@ -465,7 +476,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     short = parts.select(F.explode(F.arrays_zip("short", "n")).alias("z")).groupBy("z.short").agg(F.sum("z.n").alias("n")).toArrow().sort_by("short")  # 2^16 rows at most
     low = spark.sparkContext.broadcast(tuple(short.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("short", "n")))
     own = parts.select("grp", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(None).cast("bigint").alias("chunk"), "blob", "counts")
-    both = own.union(asked.select("grp", copy, "chunk", "blob", "counts"))
+    both = own.union(asked.select("grp", copy, "chunk", "blob", F.lit(None).cast("binary").alias("counts")))
     answers = mapped(both.repartition("grp", "copy").sortWithinPartitions("grp", "copy", F.col("chunk").asc_nulls_first()), _answers(low), "chunk bigint, grp int, blob binary, counts binary")
     texts = packed.where(F.col("grp") == _DOCS)
     nothing = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("ids", "held", "sizes")]
