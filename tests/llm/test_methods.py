@@ -342,18 +342,64 @@ def test_rules(spark):
     assert out[1]["host"] == "example.com" and out[2]["path"] == "/en/71"
 
 
-def test_boosted_trees():
+def test_boosted_trees(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 8, (400, len(url_gbt.FEATURES)))
     y = ((x[:, 0] > 3) ^ (x[:, 2] > 5)).astype(float)
     start, trees = url_gbt.boost(x, np.ones(400), y)
     raw = start + sum(t.apply(x) for t in trees)
     assert ((raw > 0) == (y > 0)).mean() > 0.97
-    con = duckdb.connect()
-    for row in x[:40]:
-        values = ", ".join(f"{v} as {f}" for v, f in zip(row.tolist(), url_gbt.FEATURES))
-        sql = re.sub(r"(\d)D\b", r"\1", " + ".join(f"({t.sql()})" for t in trees))
-        assert con.sql(f"select cast({sql} as double) from (select {values})").fetchall()[0][0] == pytest.approx(sum(float(t.apply(row[None])[0]) for t in trees))
+    df = spark.createDataFrame([(k, *map(int, row)) for k, row in enumerate(x)], ["k", *url_gbt.FEATURES])
+    got = dict(df.select("k", url_gbt.raw_score(start, trees)).collect())
+    assert [got[k] for k in range(400)] == pytest.approx(raw.tolist())
+
+
+def plain_features(url):
+    """Host, path, and the lexical features and suffixes, by plain Python."""
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    text = url or ""
+    host, path = "", ""
+    if "://" in text:
+        rest = text.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        host = lower(host)
+    query = text.split("?", 1)[1].split("#")[0] if "?" in text else ""
+    n = len(text)
+    entropy = -sum(text.count(c) / n * np.log2(text.count(c) / n) for c in set(text)) if n else 0.0
+    cut = lambda v, step, most: max(0, min(int(np.floor(v / step)), most))
+    lexical = [cut(n, 6, 30), cut(path.count("/"), 1, 12), cut(sum(c in "0123456789" for c in text) / max(1, n), 0.02, 30), cut(entropy, 0.15, 36), cut(query.count("&") + 1 if query else 0, 1, 12), cut(host.count("-"), 1, 8), cut(host.count("."), 1, 10), cut(len(host), 3, 24)]
+    labels = host.split(".")
+    return host, path, lexical, labels[-1], ".".join(labels[-2:])
+
+
+def test_urls_against_plain_steps(spark):
+    """Features, suffix rates, fit and verdicts of the whole query, worked out again with plain Python."""
+    path = "/root/testdata/sf0.01"
+    out = {r["page_id"]: r for r in registry.op6_url_filter(spark, path).collect()}
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{path}/pages.parquet").select("page_id", "url").collect()}
+    fits = lambda h, p: [(len(rh + rp), rh + rp, v) for v, rh, rp in url_gbt.RULES if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+    rows = {k: plain_features(u) for k, u in urls.items()}
+    ruled = {k: max(f)[1:] for k, (h, p, *_) in rows.items() if (f := fits(h, p))}
+    label = {k: int(v == "block") for k, (_, v) in ruled.items()}
+    overall = sum(label.values()) / len(label)
+    rates = []
+    for at in (3, 4):
+        groups = collections.defaultdict(list)
+        for k in label:
+            groups[rows[k][at]].append(label[k])
+        rates.append({s: int(20 * (sum(v) + url_gbt.PRIOR * overall) / (len(v) + url_gbt.PRIOR)) for s, v in groups.items()})
+    full = {k: (*r[2], rates[0].get(r[3], int(20 * overall)), rates[1].get(r[4], int(20 * overall))) for k, r in rows.items()}
+    counted = collections.Counter(full[k] for k in label)
+    positive = collections.Counter(full[k] for k in label if label[k])
+    x = np.array(sorted(counted), np.int64)
+    start, trees = url_gbt.boost(x, np.array([counted[tuple(r)] for r in x.tolist()], float), np.array([positive[tuple(r)] for r in x.tolist()], float))
+    keys = sorted(urls)
+    score = 1 / (1 + np.exp(-(start + sum(t.apply(np.array([full[k] for k in keys])) for t in trees))))
+    for k, s in zip(keys, score.tolist()):
+        r = out[k]
+        assert (r["host"], r["path"], r["rule"]) == (rows[k][0], rows[k][1], ruled[k][0] if k in ruled else None)
+        assert r["score"] == pytest.approx(s) and r["verdict"] == (ruled[k][1] if k in ruled else "block" if s > 0.5 else "allow")
 
 
 def test_verdicts_follow_labels(spark):

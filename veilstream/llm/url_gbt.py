@@ -1,16 +1,17 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for all other URLs.
 
-The labelled URLs are those that a rule decides. Trees with a logistic loss are fitted on the driver to a bounded
-sample of them (FIT_ROWS, drawn by a hash of the URL), already summed up by binned features, and are then written as
-one SQL expression, so that scoring stays inside the engine. Features: length, depth of the path, share of digits,
-character entropy, number of parameters, hyphens and labels of the host, length of the host, and two suffix statistics:
-the smoothed share of blocked URLs among the labelled ones with the host's last label, and with the last two labels.
-Suffixes are taken into the statistics if they hold at least 1/SUFFIX_SHARE of the labelled URLs, so there are no more
-than SUFFIX_SHARE of them at any size; other suffixes get the overall share.
+The labelled URLs are those that a rule decides. One aggregation sums them up by their binned features and suffixes; all
+that is learnt comes from that table. Features: length, depth of the path, share of digits, character entropy, number of
+parameters, hyphens and labels of the host, length of the host, and two suffix statistics: the smoothed share of blocked
+URLs among the labelled ones with the host's last label, and with the last two labels. The rates of all suffixes stay a
+table and meet the URLs in joins by suffix, for which the engine picks the way by the table's size; a suffix without
+labelled URLs gets the overall share. Trees with a logistic loss are fitted on the driver to FIT_ROWS rows of the summed
+table at most, drawn by a hash, with their full weights. They are scored inside the engine as arrays of cuts and leaves.
 
 Defined cases: a null url or one without :// has empty host and path, no rule, and is judged by its features as an empty
 string; without labelled URLs the method allows; ties between rules cannot occur, as rules of equal length that fit the
-same URL would be equal; repeated rows repeat.
+same URL would be equal; repeated rows repeat; very long urls are read whole; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.llm.common import materialize
+
 FIT_ROWS = 20_000
-SUFFIX_SHARE = 1024
 TREES, TREE_DEPTH, RATE, PENALTY = 24, 3, 0.3, 1.0
 PRIOR = 20.0
 
@@ -84,27 +86,16 @@ def lexical_features(df: DataFrame) -> DataFrame:
     })
 
 
-def suffix_rates(labelled: DataFrame) -> tuple[list[dict[str, int]], int]:
-    """Binned block rates of the frequent suffixes of one and of two labels, and the overall rate's bin."""
-    total, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
-    overall = (blocked or 0) / max(1, total)
-    least = max(1, -(-total // SUFFIX_SHARE))
-    out = []
-    for col in ("one", "two"):
-        rows = labelled.groupBy(col).agg(F.count("*").alias("n"), F.sum("label").alias("b")).where(F.col("n") >= least).collect()
-        out.append({r[col]: int(20 * (r["b"] + PRIOR * overall) / (r["n"] + PRIOR)) for r in rows})
-    return out, int(20 * overall)
-
-
-def _rated(df: DataFrame, rates: list[dict[str, int]], overall: int) -> DataFrame:
-    """Suffix statistics by two joins with tables of SUFFIX_SHARE rows at most."""
-    for col, name, table in (("one", "suffix1", rates[0]), ("two", "suffix2", rates[1])):
-        if table:
-            pairs = F.array(*[F.struct(F.lit(k).cast("string").alias(col), F.lit(v).alias(name)) for k, v in sorted(table.items())])
-            small = df.sparkSession.range(0, 1, 1, 1).select(F.inline(pairs))
-            df = df.join(F.broadcast(small), col, "left").withColumn(name, F.coalesce(name, F.lit(overall)))
-        else:
-            df = df.withColumn(name, F.lit(overall))
+def suffix_rates(summed: DataFrame, col: str, name: str, overall: float) -> DataFrame:
+    """(col, name): the binned block rate of every suffix in col among the labelled URLs."""
+    rate = 20 * (F.sum("b") + PRIOR * overall) / (F.sum("n") + PRIOR)
+    return summed.groupBy(col).agg(F.floor(rate).cast("int").alias(name))
+
+
+def rated(df: DataFrame, summed: DataFrame, overall: float) -> DataFrame:
+    """df with its suffix statistics."""
+    for col, name in (("one", "suffix1"), ("two", "suffix2")):
+        df = df.join(suffix_rates(summed, col, name, overall), col, "left").withColumn(name, F.coalesce(name, F.lit(int(20 * overall))))
     return df
 
 
@@ -114,10 +105,13 @@ class Tree:
     def __init__(self, value: float, feature: int = -1, cut: int = 0, left: Tree | None = None, right: Tree | None = None):
         self.value, self.feature, self.cut, self.left, self.right = value, feature, cut, left, right
 
-    def sql(self) -> str:
-        if self.left is None:
-            return f"{self.value!r}D"
-        return f"CASE WHEN {FEATURES[self.feature]} <= {self.cut} THEN {self.left.sql()} ELSE {self.right.sql()} END"
+    def cells(self, depth: int) -> tuple[list[int], list[int], list[float]]:
+        """Features and cuts by node of the full tree of that depth (node i leads to 2i + 1 and 2i + 2), and its leaves."""
+        nodes, level = [], [self]
+        for _ in range(depth):
+            nodes += level
+            level = [side for t in level for side in ((t.left, t.right) if t.left else (t, t))]
+        return [max(0, t.feature) for t in nodes], [t.cut for t in nodes], [t.value for t in level]
 
     def apply(self, x: np.ndarray) -> np.ndarray:
         if self.left is None:
@@ -154,27 +148,40 @@ def boost(x: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[float, li
     return start, trees
 
 
+def raw_score(start: float, trees: list[Tree], depth: int = TREE_DEPTH) -> Column:
+    """The trees' sum, from the columns FEATURES; one constant holds all trees."""
+    numbers = lambda values, end="": f"array({', '.join(f'{v!r}{end}' for v in values)})"
+    rows = [(numbers(f), numbers(c), numbers(v, "D")) for f, c, v in (t.cells(depth) for t in trees)]
+    forest = F.expr(f"array({', '.join(f'named_struct({chr(39)}f{chr(39)}, {f}, {chr(39)}c{chr(39)}, {c}, {chr(39)}v{chr(39)}, {v})' for f, c, v in rows)})")
+    levels = F.array(*[F.lit(k) for k in range(depth)])
+
+    def leaf(x: Column, t: Column) -> Column:
+        down = lambda i, _: 2 * i + F.when(F.get(x, F.get(t["f"], i)) <= F.get(t["c"], i), 1).otherwise(2)
+        return F.get(t["v"], F.aggregate(levels, F.lit(0), down) - ((1 << depth) - 1))
+
+    return F.aggregate(forest, F.lit(start), lambda total, t: total + leaf(F.array(*FEATURES), t))
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each page; score: the trees' probability that the URL is to be blocked."""
     host, path = split_url(F.col("url"))
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = apply_rules(F.col("host"), F.col("path"))
     src = lexical_features(src.withColumns({"rule": rule, "ruled": verdict}))
-    labelled = src.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("int"))
-    rates, overall = suffix_rates(labelled)
-    count = labelled.count()
-    share = min(1.0, fit_rows / max(1, count))
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003)))
-    summed = _rated(sample, rates, overall).groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("label").alias("b")).collect()
-    rated = _rated(src, rates, overall)
-    if summed:
-        summed.sort()
-        x = np.array([[r[f] for f in FEATURES] for r in summed], np.int64)
-        start, trees = boost(x, np.array([r["n"] for r in summed], float), np.array([r["b"] for r in summed], float))
-        raw = F.expr(" + ".join([f"{start!r}D", *(f"({t.sql()})" for t in trees)]))
-        score = 1 / (1 + F.exp(-raw))
+    labelled = src.where(F.col("ruled").isNotNull())
+    summed = materialize(labelled.groupBy(*LEXICAL, "one", "two").agg(F.count("*").alias("n"), F.sum((F.col("ruled") == "block").cast("bigint")).alias("b")), "labelled")
+    count, blocked, rows = summed.agg(F.sum("n"), F.sum("b"), F.count("*")).first()
+    overall = (blocked or 0) / max(1, count or 0)
+    share = min(1.0, fit_rows / max(1, rows))
+    drawn = F.pmod(F.xxhash64(*LEXICAL, "one", "two"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003))
+    fitted = rated(summed.where(drawn), summed, overall).groupBy(*FEATURES).agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()
+    out = rated(src, summed, overall)
+    if fitted:
+        fitted.sort()
+        x = np.array([[r[f] for f in FEATURES] for r in fitted], np.int64)
+        start, trees = boost(x, np.array([r["n"] for r in fitted], float), np.array([r["b"] for r in fitted], float))
+        out = out.withColumn("score", 1 / (1 + F.exp(-raw_score(start, trees))))
     else:
-        score = F.lit(0.0)
-    rated = rated.withColumn("score", score)
+        out = out.withColumn("score", F.lit(0.0))
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
-    return rated.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
