@@ -8,6 +8,7 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -67,6 +68,23 @@ def test_raw_elements_without_end_tags(icon):
     assert html_extract.main_text(page.replace(icon, "<script>"))[1] == 1
 
 
+@pytest.mark.parametrize("part", ["<a ", "<div>text ", '<a ">" ', "<svg>", "<p>some text here", "<", "<li>ab</a></b>", "<!", "<i>", "<b><p><i></b>", "<td>x|", "&amp"])
+def test_hostile_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize("attrs", ['id="search"', 'id="comments-on-law"', 'class="text-related"'])
+def test_articles_keep_their_prose(attrs):
+    prose = "This is a long paragraph of prose, which goes on and on. " * 3
+    page = f"<body><article><h1>Title of it</h1><p>First part of the article, as it is here.</p><p {attrs}>{prose}</p></article></body>"
+    assert html_extract.main_text(page)[0].endswith("\n" + prose.strip())
+    bare = f"<body><div>Home | News | About</div><div>{prose}</div><div>{prose}</div><div>Copyright 2020 Site</div></body>"
+    assert html_extract.main_text(bare)[0] == "\n".join([prose.strip()] * 2)
+
+
 def test_pages_of_the_table(spark):
     import html as h
 
@@ -503,6 +521,29 @@ def test_sniffing_and_carving(spark):
     assert out[3]["media_type"] is None and out[3]["carved"] == []
 
 
+@pytest.mark.parametrize("part", [b"PK\x03\x04", b"%PDF-1.", b"PK\x05\x06", b"\x1f\x8b\x08", b"OggS" + b"\0" * 23, b"RIFF\0\0\0\0WAVE", b"GIF89a", b"\xff\xd8\xff", b"\0\0\0\x08ftyp", b"fLaC", b"%PDF-1.startxref"])
+def test_hostile_payloads_take_linear_time(part):
+    began = time.process_time()
+    media.sniff(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 5
+
+
+def test_marks_in_any_order():
+    """Ends found once mean the same as searching from each hit."""
+    rng = random.Random(9)
+    for _ in range(300):
+        b = b"".join(rng.choice([b"%PDF-1.", b"startxref", b"%%EOF", b"x"]) for _ in range(rng.randint(1, 12)))
+        want, free = [], 0
+        for m in re.finditer(b"%PDF-1.", b):
+            end = b.find(b"%%EOF", m.start())
+            if m.start() >= free and end >= 0 and b.find(b"startxref", m.start(), end) >= 0:
+                want.append(("application/pdf", m.start(), end + 5 - m.start()))
+                free = end + 5
+        assert media.sniff(b) == want
+    many = gzip.compress(b"hello") + gzip.compress(b"x" * 300_000) + gzip.compress(b"")
+    assert [x[0] for x in media.sniff(b"..." + many)] == ["application/gzip"] * 3 and media.sniff(many[:-1])[-1][1] < len(many) - 25
+
+
 def test_media_round_trip(spark, texts):
     for r in registry.op9_media_sniff(spark, SF).collect():
         raw = texts[r["doc_id"]].encode()

@@ -9,9 +9,15 @@ parent. The minimum cut of source and sink is the labelling of least total cost.
 A block whose terminal cost outweighs all its smoothness edges has that label in every minimum cut; such blocks are
 fixed first and their edges become costs of their neighbours, and what stays open is solved by augmenting paths.
 
+Tags are found and closed in time linear in the page. A block whose boilerplate is only hinted at by one of several words
+of a class or id, or by an id alone, can be kept by its prose and by its neighbours.
+
 Defined cases: null and empty html gives empty text; unclosed tags end with their parent or at the next block tag that
-implies their end; svg and math may close themselves, and an unclosed svg, math, object, template or noscript hides nothing; an
-unclosed script, style, textarea, title, iframe, xmp, noembed or noframes goes on to the page's end; a page without any content block gives empty text; repeated pages give repeated rows.
+implies their end; a tag without any > behind it is text, and one whose quotes never end goes on to the next >; svg and
+math may close themselves, and an unclosed svg, math, object, template or noscript hides nothing; an unclosed script,
+style, textarea, title, iframe, xmp, noembed or noframes goes on to the page's end; a page without any content block gives
+empty text; of labellings that tie the one with fewer content blocks is taken; very long pages are read whole; repeated
+pages give repeated rows; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ from pyspark.sql import functions as F
 
 from veilstream.llm.common import mapped, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 
@@ -38,31 +46,44 @@ RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe",
 MARKUP = {"template", "noscript", "svg", "math", "object"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 SKIP = {"head", "button", "select", "option", "canvas", "audio", "video"}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Costs by element, added for the block's ancestors; above zero speaks for content.
 ELEMENT = {"article": 3.0, "main": 2.5, "p": 1.0, "h1": 1.0, "h2": 0.8, "h3": 0.6, "blockquote": 0.6, "pre": 0.6, "figcaption": 0.2, "nav": -9.0, "footer": -7.0, "header": -3.5, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "fieldset": -6.0}
-#: Words of class, id and role that name boilerplate or content.
-BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|adbox|adslot|contentinfo|complementary|promo\w*|banner|cookies?|consent|gdpr|notices?|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|comment-?list|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|overlay|widget|pagination|pager|copyright|legal|disclaimer|tags?|search)(?=$|[\s_-])", re.I)
+#: Words of class, id and role that name boilerplate or content, and words that say nothing beside them.
+BAD = re.compile(r"ads?|advert\w*|sponsor\w*|adbox|adslot|contentinfo|complementary|promo\w*|banner|cookies?|consent|gdpr|notices?|sidebar\w*|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|overlay|widget|pagination|pager|copyright|legal|disclaimer|tags?|search", re.I)
+GOOD = re.compile(r"article|content|entry|post|story|body|main|text", re.I)
+NEUTRAL = set("section area list box block container wrapper wrap inner outer item items bar panel row col column site page top bottom left right user global primary secondary".split())
 HEAD_WORDS = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
-GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|main|text)(?=$|[\s_-])", re.I)
-WORDING = re.compile(r"cookie|©|&copy;|all rights reserved|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|advertisement|sponsored", re.I)
+WORDING = re.compile(r"cookie|©|&copy;|\bcopyright \d{4}|all rights reserved|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|advertisement|sponsored", re.I)
+_SEPARATORS = re.compile(r"[|·•»›]")
 
 
 class Block:
-    __slots__ = ("text", "path", "bias", "linked")
+    __slots__ = ("text", "node", "bias", "linked")
+
+    def __init__(self, text: str, node: int, bias: float, linked: int):
+        self.text, self.node, self.bias, self.linked = text, node, bias, linked
 
-    def __init__(self, text: str, path: tuple, bias: float, linked: int):
-        self.text, self.path, self.bias, self.linked = text, path, bias, linked
+
+def _word(value: str) -> float:
+    """What the words of a class, id or role speak for: -1 to 0 by the share that names boilerplate, else what names content."""
+    worst, good = 0.0, False
+    for token in value.split():
+        parts = [p for p in _PARTS.split(token) if p and p.lower() not in NEUTRAL]
+        if parts:
+            worst = max(worst, sum(bool(BAD.fullmatch(p)) for p in parts) / len(parts))
+            good = good or any(GOOD.fullmatch(p) for p in parts)
+    return -worst if worst else 0.125 * good
 
 
 def _named(attrs: str) -> float:
     total = 0.0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id", "role"):
-            value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
-            total += -8.0 * bool(BAD.search(value)) or 1.0 * bool(GOOD.search(value))
+        if key in ("class", "id", "role"):  # an id may only be where a link leads to
+            total += (6.0 if key == "id" else 8.0) * _word(value)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             total -= 12.0
     return total
@@ -73,62 +94,149 @@ def _self_closing(attrs: str) -> bool:
     return attrs.endswith("/") and not re.search(r"=\s*[^\s\"'][^\s]*$", _QUOTED.sub('""', attrs))
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks in page order, with the path of their elements and the sum of what their ancestors speak for."""
+class Tags:
+    """The tags of a page, each found in time linear in the page's rest at most once: what cannot be found is remembered."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {c: page.rfind(c) for c in "\"'"}
+        self.lenient = False
+        self.unended: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes start at at has its >; quoted ones do not count unless there are no others."""
+        if not self.lenient:
+            p = at
+            while (p := _PLAIN.match(self.page, p).end()) < len(self.page):
+                c = self.page[p]
+                if c == ">":
+                    return p
+                p = 1 + (self.page.find(c, p + 1) if p < self.quotes[c] else p)
+            self.lenient = True
+        return self.page.find(">", at)
+
+    def skip(self, name: str, at: int) -> int | None:
+        """Where the page goes on behind the end tag of a raw element; None if there is none."""
+        if name in self.unended:
+            return None
+        tail = _RAW_END[name].search(self.page, at)
+        if not tail:
+            self.unended.add(name)
+        return tail.end() if tail else None
+
+
+class Tree:
+    """The open elements, and the tree of the block-level ones met so far by number: parents and depths. Node 0 is the page."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.costs, self.skips, self.nodes = [0.0], [False], [0]  # by open element, those of the page itself first
+        self.parent, self.depth = [0], [0]
+        self.open: dict[str, list[int]] = {}
+        self.blocks = [-1]
+        self.links = self.hidden = 0
+
+    def push(self, name: str, cost: float) -> None:
+        self.open.setdefault(name, []).append(len(self.names))
+        if name in INLINE:
+            self.nodes.append(self.nodes[-1])
+        else:
+            self.blocks.append(len(self.names))
+            self.parent.append(self.nodes[-1])
+            self.depth.append(self.depth[self.nodes[-1]] + 1)
+            self.nodes.append(len(self.parent) - 1)
+        self.names.append(name)
+        self.costs.append(self.costs[-1] + cost)
+        self.skips.append(name in SKIP)
+        self.links += name == "a"
+        self.hidden += name in SKIP
+
+    def close(self, to: int) -> None:
+        while len(self.names) > to:
+            name = self.names.pop()
+            self.open[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            self.costs.pop()
+            self.nodes.pop()
+            self.links -= name == "a"
+            self.hidden -= self.skips.pop()
+
+    def innermost(self, names) -> int:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
+
+    def way(self, a: int, b: int, most: int = 4) -> int:
+        """Steps between two nodes of the tree; more than most if it is more."""
+        steps = 0
+        while a != b and steps <= most:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            steps += 1
+        return steps
+
+
+def blocks_of(page: str) -> tuple[list[Block], Tree]:
+    """The text blocks in page order, with their innermost element and the sum of what their ancestors speak for."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # element, number, its cost, whether its text is skipped
+    tree, tags = Tree(), Tags(page)
     parts: list[str] = []
-    number = links = linked = hidden = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
-            if text and not hidden:
-                own = tuple(n for name, n, _, _ in stack if name not in INLINE)
-                out.append(Block(text, own, sum(c for _, _, c, _ in stack), linked))
+            if text and not tree.hidden:
+                out.append(Block(text, tree.nodes[-1], tree.costs[-1], linked))
         linked = 0
 
-    def close(depth: int) -> None:
-        nonlocal links, hidden
-        while len(stack) > depth:
-            name, _, _, skip = stack.pop()
-            links -= name == "a"
-            hidden -= skip
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end() if m else at + 1
-        if not m:  # a tag that never ends is text
-            parts.append(page[at - 1])
+    def add(text: str) -> None:
+        nonlocal linked
+        if not tree.hidden:
+            text = html.unescape(text) if "&" in text else text
+            parts.append(text)
+            if tree.links:
+                linked += len(text.strip())
+
+    while at < len(page):
+        start = page.find("<", at)
+        if start != at:
+            add(page[at : start if start >= 0 else len(page)])
+            if start < 0:
+                break
+            at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        if m[4] is not None:
-            if not hidden:
-                text = html.unescape(m[4]) if "&" in m[4] else m[4]
-                parts.append(text)
-                if links:
-                    linked += len(text.strip())
+        m = _NAME.match(page, at)
+        if at > tags.last or not (m or page[at + 1] in "!?"):  # a tag that never ends is text
+            add("<")
+            at += 1
             continue
-        if m[2] is None:
+        if not m:
+            at = page.find(">", at) + 1
             continue
-        name = m[2].lower()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+        end = tags.end(m.end())
+        name, attrs, closing = m[1].lower(), page[m.end() : end], page[at + 1] == "/"
+        at = end + 1
+        if closing:
             if name not in INLINE:
                 flush()
-            if depth is not None and not (name in INLINE and any(s[0] not in INLINE for s in stack[depth:])):
-                close(depth)
+            depth = tree.innermost((name,))
+            if depth >= 0 and not (name in INLINE and tree.blocks[-1] > depth):
+                tree.close(depth)
             continue
         if name in RAW:
-            if name not in INLINE and name in ("textarea", "title"):
+            if name in ("textarea", "title"):
                 flush()
-            if name in ("svg", "math") and _self_closing(m[3]):
-                continue
-            tail = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if tail or name not in MARKUP:
-                at = tail.end() if tail else end
+            if not (name in ("svg", "math") and _self_closing(attrs)):
+                behind = tags.skip(name, at)
+                if behind is not None or name not in MARKUP:
+                    at = len(page) if behind is None else behind
             continue
         if name == "br":
             parts.append(" ")
@@ -136,49 +244,39 @@ def blocks_of(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
             if name in CLOSES_P:  # these end an open paragraph, with what is open inside it
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if depth is not None and all(s[0] in INLINE for s in stack[depth + 1 :]):
-                    close(depth)
+                depth = tree.innermost(("p",))
+                if depth >= 0 and tree.blocks[-1] == depth:
+                    tree.close(depth)
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in same or stack[k][0] in ("ul", "ol", "dl", "table", "select")), None)
-                if depth is not None and stack[depth][0] in same:
-                    close(depth)
-        if name in VOID or m[3].endswith("/") and name in ("img", "input"):
+                depth = tree.innermost((*same, "ul", "ol", "dl", "table", "select"))
+                if depth >= 0 and tree.names[depth] in same:
+                    tree.close(depth)
+        if name in VOID or attrs.endswith("/") and name in ("img", "input"):
             continue
-        number += 1
-        skip = name in SKIP
-        if inside := any(s[0] == "article" for s in stack):  # the article's own head holds its title
-            own = 0.0 if name == "header" else ELEMENT.get(name, 0.0)
-        else:
-            own = ELEMENT.get(name, 0.0)
-        stack.append((name, number, own + (_named(HEAD_WORDS.sub("", m[3]) if inside else m[3]) if m[3] else 0.0), skip))
-        hidden += skip
-        links += name == "a"
+        inside = bool(tree.open.get("article"))  # the article's own head holds its title
+        own = 0.0 if inside and name == "header" else ELEMENT.get(name, 0.0)
+        tree.push(name, own + (_named(HEAD_WORDS.sub("", attrs) if inside else attrs) if attrs else 0.0))
     flush()
-    return out
+    return out, tree
 
 
 def costs(block: Block) -> float:
     """What calling the block boilerplate costs, less what calling it content costs."""
-    n = len(block.text)
+    text, n = block.text, len(block.text)
     share = block.linked / n
-    punctuation = sum(block.text.count(c) for c in ".!?;:")
+    punctuation = sum(text.count(c) for c in ".!?;:")
     score = block.bias - 0.5 - 6.0 * (share > 0.6) - 2.0 * share
     score += min(2.0, n / 120) + min(1.0, 0.4 * punctuation)
-    if n < 200 and WORDING.search(block.text):
-        score -= 1.5
+    if n < 200:
+        score -= 1.5 * bool(WORDING.search(text))
+        if block.bias <= 0:  # nothing but the wording to go by
+            score -= min(3.0, 1.5 * len(_SEPARATORS.findall(text))) + 1.5 * (n < 60 and text[-1] not in ".!?:…\"'”»")
     return score
 
 
-def closeness(a: tuple, b: tuple) -> float:
+def closeness(way: int) -> float:
     """Smoothness of two blocks by the way between them in the DOM."""
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        k += 1
-    way = len(a) + len(b) - 2 * k
     return 1.2 if way <= 2 else 0.6 if way <= 4 else 0.25
 
 
@@ -202,20 +300,22 @@ def minimum_cut(terminal: list[float], edges: dict[tuple[int, int], float]) -> l
             near[i] = {}
     left = [i for i in range(n) if label[i] is None]
     excess = {i: bias[i] for i in left}
+    cut_off: set[int] = set()  # from here no way leads to the sink any more, nor will
     for i in left:  # push what the source can send along shortest ways to where the sink still takes
-        while excess[i] > 1e-12:
+        while excess[i] > 1e-12 and i not in cut_off:
             came, todo = {i: None}, deque([i])
             goal = None
             while todo and goal is None:
                 x = todo.popleft()
                 for y, w in near[x].items():
-                    if w > 1e-12 and y not in came:
+                    if w > 1e-12 and y not in came and y not in cut_off:
                         came[y] = x
                         if excess[y] < -1e-12:
                             goal = y
                             break
                         todo.append(y)
             if goal is None:
+                cut_off.update(came)
                 break
             flow, y = min(excess[i], -excess[goal]), goal
             while came[y] is not None:
@@ -238,13 +338,13 @@ def minimum_cut(terminal: list[float], edges: dict[tuple[int, int], float]) -> l
     return [bool(label[i]) if label[i] is not None else i in reach for i in range(n)]
 
 
-def label_blocks(blocks: list[Block]) -> list[bool]:
+def label_blocks(blocks: list[Block], tree: Tree) -> list[bool]:
     edges: dict[tuple[int, int], float] = {}
-    previous: dict[tuple, int] = {}
+    previous: dict[int, int] = {}
     for k, b in enumerate(blocks):
         if k:
-            edges[k - 1, k] = closeness(blocks[k - 1].path, b.path)
-        parent = b.path[:-1]
+            edges[k - 1, k] = closeness(tree.way(blocks[k - 1].node, b.node))
+        parent = tree.parent[b.node]
         if (j := previous.get(parent)) is not None and j != k - 1:
             edges[j, k] = 0.4
         previous[parent] = k
@@ -253,8 +353,8 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
 
 def main_text(page: str) -> tuple[str, int, int]:
     """The content blocks joined by line ends; the number of blocks, and of those that are content."""
-    blocks = blocks_of(page)
-    keep = [b.text for b, yes in zip(blocks, label_blocks(blocks), strict=True) if yes]
+    blocks, tree = blocks_of(page)
+    keep = [b.text for b, yes in zip(blocks, label_blocks(blocks, tree), strict=True) if yes]
     return "\n".join(keep), len(blocks), len(keep)
 
 

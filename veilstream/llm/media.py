@@ -3,15 +3,22 @@
 One Aho-Corasick automaton holds the magic bytes of all known formats and walks the whole payload once (bytes as
 Latin-1, so that one character is one byte). Every place found is handed to the format's validator, which follows the
 format's own structure and returns the length it confirms, or None. The format confirmed at offset 0 corrects the
-declared type; formats confirmed elsewhere, and not inside one already carved, are carved as embedded media.
+declared type; formats confirmed elsewhere, and not inside one already carved, are carved as embedded media. Marks of ends
+are found once for a payload, and streams that many places lead to are followed once, so that a payload full of magic
+bytes takes no longer than its size.
 
 Defined cases: a null payload is sniffed as empty bytes (type null, nothing carved); a declared type that no validator
-confirms is kept with valid = false; ties at an offset go to the longest confirmed length, then to the format's name.
+confirms is kept with valid = false; ties at an offset go to the longest confirmed length, then to the format's name;
+repeated rows give repeated rows; very long payloads are read whole; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -114,35 +121,81 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if spare == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= size <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
-        return None
-    end = b.find(b"%%EOF", at)
-    return None if end < 0 or b.find(b"startxref", at, end) < 0 else end + 5 - at
+class Payload:
+    """A payload, with what validators look for again and again found once: marks of ends, and where streams lead."""
 
+    def __init__(self, b: bytes):
+        self.b = b
+        self.places: dict[bytes, list[int]] = {}
+        self.archives: dict[int, int] | None = None
+        self.streams: dict[int, int | None] = {}
+        self.pages: dict[int, int | None] = {}
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if start + size == end - at and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of mark from at on, or the payload's length."""
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        k = bisect.bisect_left(self.places[mark], at)
+        return self.places[mark][k] if k < len(self.places[mark]) else len(self.b)
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _pdf(p: Payload, at: int) -> int | None:
+    b = p.b
+    if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
+        return None
+    end = p.next(b"%%EOF", at)
+    return end + 5 - at if p.next(b"startxref", at) < end < len(b) else None
+
+
+def _zip(p: Payload, at: int) -> int | None:
+    """Every end record says where its archive begins."""
+    if p.archives is None:
+        p.archives, b = {}, p.b
+        for m in re.finditer(b"PK\x05\x06", b):
+            end = m.start()
+            if end + 22 > len(b):
+                break
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            first = end - size - start
+            if first >= 0 and b[end - size : end - size + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
+                p.archives.setdefault(first, end + 22 + note)
+    return p.archives[at] - at if at in p.archives else None
+
+
+def _gzip(p: Payload, at: int) -> int | None:
+    b, pos = p.b, at + 10
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return None
-    d = zlib.decompressobj(31)
+    flags = b[at + 3]
+    if flags & 4:
+        pos += 2 + int.from_bytes(b[pos : pos + 2], "little")
+    for flag in (8, 16):  # name and comment end with a zero byte
+        if flags & flag:
+            pos = p.next(b"\0", pos) + 1
+            if pos > len(b):
+                return None
+    if flags & 2:
+        if b[pos : pos + 2] != (zlib.crc32(memoryview(b)[at:pos]) & 0xFFFF).to_bytes(2, "little"):
+            return None
+        pos += 2
+    if pos not in p.streams:
+        p.streams[pos] = _deflated(b, pos)
+    end = p.streams[pos]
+    return end - at if end else None
+
+
+def _deflated(b: bytes, at: int) -> int | None:
+    """Where a deflate stream with its trailer ends, if the trailer agrees."""
+    d, view, pos, crc, size = zlib.decompressobj(-15), memoryview(b), at, 0, 0
     try:
-        part = b[at:]
-        while part and not d.eof:
-            d.decompress(part, 1 << 20)
-            part = d.unconsumed_tail
+        while not d.eof and pos < len(b):
+            part = view[pos : pos + (1 << 14)]
+            out = d.decompress(part, 1 << 20)
+            pos += len(part) - len(d.unconsumed_tail) - len(d.unused_data)
+            crc, size = zlib.crc32(out, crc), size + len(out)
     except zlib.error:
         return None
-    return len(b) - at - len(d.unused_data) - len(d.unconsumed_tail) if d.eof else None
+    return pos + 8 if d.eof and b[pos : pos + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else None
 
 
 def _flac(b: bytes, at: int) -> int | None:
@@ -160,17 +213,25 @@ def _flac(b: bytes, at: int) -> int | None:
     return None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
-    pos = at
-    while pos + 27 <= len(b) and b[pos : pos + 4] == b"OggS" and b[pos + 4] == 0:
+def _ogg(p: Payload, at: int) -> int | None:
+    """Pages up to one that is the last; each page is gone through once, however many hits lead to it."""
+    b, pos, chain, end = p.b, at, [], None
+    while pos not in p.pages:
+        if pos + 27 > len(b) or b[pos : pos + 4] != b"OggS" or b[pos + 4] != 0:
+            break
+        chain.append(pos)
         n = b[pos + 26]
-        end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if end > len(b):
+        behind = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
+        if behind > len(b):
             break
-        last, pos = b[pos + 5] & 4, end
-        if last:
-            return pos - at
-    return None
+        if b[pos + 5] & 4:
+            end = behind
+            break
+        pos = behind
+    else:
+        end = p.pages[pos]
+    p.pages.update(dict.fromkeys(chain, end))
+    return end - at if end else None
 
 
 def _mp4(b: bytes, at: int) -> int | None:
@@ -184,22 +245,26 @@ def _mp4(b: bytes, at: int) -> int | None:
     return pos - at if names[:1] == [b"ftyp"] and len(names) > 1 else None
 
 
+def _alone(check: Callable[[bytes, int], int | None]) -> Callable[[Payload, int], int | None]:
+    return lambda p, at: check(p.b, at)
+
+
 #: Media type, magic bytes, offset of the magic within the format, validator.
-FORMATS: list[tuple[str, bytes, int, Callable[[bytes, int], int | None]]] = [
-    ("audio/wav", b"RIFF", 0, _riff(b"WAVE")),
-    ("image/webp", b"RIFF", 0, _riff(b"WEBP")),
-    ("video/avi", b"RIFF", 0, _riff(b"AVI ")),
-    ("image/png", b"\x89PNG\r\n\x1a\n", 0, _png),
-    ("image/jpeg", b"\xff\xd8\xff", 0, _jpeg),
-    ("image/gif", b"GIF87a", 0, _gif),
-    ("image/gif", b"GIF89a", 0, _gif),
-    ("image/bmp", b"BM", 0, _bmp),
+FORMATS: list[tuple[str, bytes, int, Callable[[Payload, int], int | None]]] = [
+    ("audio/wav", b"RIFF", 0, _alone(_riff(b"WAVE"))),
+    ("image/webp", b"RIFF", 0, _alone(_riff(b"WEBP"))),
+    ("video/avi", b"RIFF", 0, _alone(_riff(b"AVI "))),
+    ("image/png", b"\x89PNG\r\n\x1a\n", 0, _alone(_png)),
+    ("image/jpeg", b"\xff\xd8\xff", 0, _alone(_jpeg)),
+    ("image/gif", b"GIF87a", 0, _alone(_gif)),
+    ("image/gif", b"GIF89a", 0, _alone(_gif)),
+    ("image/bmp", b"BM", 0, _alone(_bmp)),
     ("application/pdf", b"%PDF-", 0, _pdf),
     ("application/zip", b"PK\x03\x04", 0, _zip),
     ("application/gzip", b"\x1f\x8b\x08", 0, _gzip),
-    ("audio/flac", b"fLaC", 0, _flac),
+    ("audio/flac", b"fLaC", 0, _alone(_flac)),
     ("audio/ogg", b"OggS", 0, _ogg),
-    ("video/mp4", b"ftyp", 4, _mp4),
+    ("video/mp4", b"ftyp", 4, _alone(_mp4)),
 ]
 
 
@@ -217,15 +282,11 @@ def _automaton() -> ahocorasick.Automaton:
 
 def sniff(payload: bytes) -> list[tuple[str, int, int]]:
     """The confirmed media as (type, offset, length), by offset; none lies inside another."""
-    hits = []
-    for end, entries in _automaton().iter(payload.decode("latin-1")):
-        for kind, back, check in entries:
-            at = end - back
-            if at >= 0 and (n := check(payload, at)):
-                hits.append((at, -n, kind))
-    out, free = [], 0
-    for at, n, kind in sorted(hits):
-        if at >= free:
+    places = [(end - back, kind, check) for end, entries in _automaton().iter(payload.decode("latin-1")) for kind, back, check in entries if end >= back]
+    out, free, p = [], 0, Payload(payload)
+    for at, same in itertools.groupby(sorted(places, key=lambda x: x[0]), key=lambda x: x[0]):
+        if at >= free and (hits := [(-n, kind) for _, kind, check in same if (n := check(p, at))]):
+            n, kind = min(hits)
             out.append((kind, at, -n))
             free = at - n
     return out
