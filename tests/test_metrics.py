@@ -77,14 +77,22 @@ def test_privacy(spark):
         spread(m, s, ["a"], 1)
 
 
-def test_nearest_in_blocks(spark):
-    from veilstream.metrics.privacy import nearest, vectors
-
-    s = stream(spark, [(k, "x", float(k * k % 17), float(k % 5)) for k in range(40)])
-    v = vectors(s, ["a", "b"], [1.0, 1.0])
-    t = vectors(s.withColumn("id", F.col("seq")), ["a", "b"], [1.0, 1.0], "id")
-    one, many = ({r["id"]: [round(x, 9) for x in r["near"]] for r in nearest(t, v, 5, b).collect()} for b in (1000, 7))
-    assert one == many
+@pytest.mark.parametrize("leaves, block", [(1, 50_000), (8, 50_000), (64, 7)])
+def test_nearest_in_cells(spark, monkeypatch, leaves, block):
+    """Any number of cells and blocks finds what all pairs have, with missing values, many equal rows and far ones."""
+    from veilstream.metrics import privacy
+
+    monkeypatch.setattr(privacy, "BLOCK_ROWS", block)
+    rng = random.Random(leaves)
+    value = lambda: rng.choice([None, 0.0, rng.gauss(0, 1), rng.gauss(5, 0.1), 100.0])
+    rows = [(k, [value(), value(), value()]) for k in range(300)]
+    rows = [r for r in rows if any(x is not None for x in r[1])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = {r["id"]: r["near"] for r in privacy.nearest(df.where("id % 3 = 0"), df.where("id % 2 = 0").select("v"), 5, leaves).collect()}
+    for k, v in rows:
+        if k % 3 == 0:
+            both = [[(a, b) for a, b in zip(v, w) if a is not None and b is not None] for i, w in rows if i % 2 == 0]
+            assert got[k] == pytest.approx(sorted(math.sqrt(sum((a - b) ** 2 for a, b in x) / len(x)) for x in both if x)[:5])
 
 
 def test_cardinality():

@@ -118,3 +118,13 @@ def test_simplifier():
     assert not simplified(Pipeline((lt(1), MovingAggregate("a", Aggregate.AVG, 3), gt(2))))[1]
     assert str(Pipeline((Filter("CO(GT)", Condition.LT, 1.23), Noise("T", 0.05)))) == "Pipeline { filter(CO(GT) < 1.2300) | map_noise(attribute=T, percentage=0.05) }"
     assert str(Pipeline()) == "Pipeline {}"
+
+
+def test_plans_grow_with_the_number_of_operators(spark, tmp_path):
+    """A stateful operator reads its input twice, and what is before it is not worked out again."""
+    path = str(tmp_path / "s.parquet")
+    stream(spark, random_rows(50)).write.parquet(path)
+    for node in (MovingAggregate("a", Aggregate.AVG, 3), RandomInRange("a")):
+        for n in (1, 2, 4):
+            plan = run_pipeline(spark.read.parquet(path), Pipeline((node,) * n))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") <= 2

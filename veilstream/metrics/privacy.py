@@ -1,8 +1,10 @@
 """Privacy: how evenly far each modified tuple is from its nearest original tuples, times how well the counts agree.
 
 Distances are root mean squares over the attributes valid on both sides, each attribute scaled by the original's
-standard deviation. The originals are broadcast in blocks of BLOCK_ROWS rows; a tuple carries its k smallest distances
-from block to block, so any number of originals can be searched with the same memory.
+standard deviation. The originals are filed in LEAVES cells at most for each set of valid attributes: cuts come from a
+bounded sample, the cells' boxes from all rows. A tuple first looks into the cells nearest to it, until they hold k rows;
+the k-th distance found then tells which other cells can hold nearer ones, and only these are looked into. Cells meet
+their tuples in a join, a large cell in blocks of BLOCK_ROWS rows, so no task holds more than that of the originals.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.sources.scratch import written
 from veilstream.sources.streams import q
 
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 50_000
+LEAVES, SAMPLE = 1024, 65_536
 K = 50
 
 
@@ -39,51 +43,160 @@ def vectors(stream: DataFrame, attributes: list[str], factors: list[float], *kee
     return stream.select(*keep, v.alias("v")).where(F.exists("v", lambda x: x.isNotNull()))
 
 
-def nearest(targets: DataFrame, originals: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """targets (id, v) with near: the k smallest distances to originals (v), ascending."""
-    spark = targets.sparkSession
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column as a matrix, null as NaN."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _valid(rows: np.ndarray) -> np.ndarray:
+    """A number for each row's set of valid attributes."""
+    return (~np.isnan(rows)) @ (1 << np.arange(rows.shape[1]))
+
+
+class Cells:
+    """Cuts of the space, by set of valid attributes; a cell's number is that set's, and its place among the set's cells."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.cuts: dict[int, list] = {}
+        sets = _valid(sample)
+        for which in np.unique(sets).tolist():
+            own = sample[sets == which]
+            depth = int(np.log2(max(1, leaves * len(own) // max(1, len(sample)))))
+            self.cuts[which] = self._cut(own, [d for d in range(own.shape[1]) if which >> d & 1], depth)
+
+    def _cut(self, rows: np.ndarray, dims: list[int], depth: int):
+        if not depth or not dims or len(rows) < 2:
+            return None
+        d = max(dims, key=lambda d: float(np.ptp(rows[:, d])))
+        at = float(np.median(rows[:, d]))
+        low = rows[:, d] <= at
+        return None if low.all() else (d, at, self._cut(rows[low], dims, depth - 1), self._cut(rows[~low], dims, depth - 1))
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        sets, out = _valid(rows), np.zeros(len(rows), np.int64)
+        for which in np.unique(sets).tolist():
+            todo = [(np.flatnonzero(sets == which), self.cuts.get(which), 1)]
+            while todo:
+                at, cut, number = todo.pop()
+                if cut is None:
+                    out[at] = (which << 32) | number
+                else:
+                    low = rows[at, cut[0]] <= cut[1]
+                    todo += [(at[low], cut[2], 2 * number), (at[~low], cut[3], 2 * number + 1)]
+        return out
+
+
+def bounds(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least distance from each row to anything in each box; infinite where no attribute is valid on both sides."""
+    total, shared = np.zeros((len(rows), len(low))), np.zeros((len(rows), len(low)))
+    for d in range(rows.shape[1]):
+        gap = np.maximum(0.0, np.maximum(low[None, :, d] - rows[:, d, None], rows[:, d, None] - high[None, :, d]))
+        there = ~np.isnan(gap)
+        total += np.where(there, gap, 0.0) ** 2
+        shared += there
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, np.sqrt(total / shared), np.inf)
+
+
+def distances(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A point is a box."""
+    return bounds(mine, other, other)
+
+
+def _met(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (leaf, block, share, id, v) sorted by the first three, with originals (no id) before tuples: (id, near)."""
+        where, held, other = None, [], None
+        for batch in batches:
+            rows, ids = _matrix(batch.column("v")), batch.column("id")
+            place = np.stack([batch.column(c).to_numpy() for c in ("leaf", "block", "share")], axis=1)
+            own = ids.is_null().to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero((place[1:] != place[:-1]).any(axis=1) | (own[1:] != own[:-1])) + 1).tolist(), len(rows)]
+            start = 0
+            for end in ends if len(rows) else ():
+                if tuple(place[start]) != where:
+                    where, held, other = tuple(place[start]), [], None
+                if own[start]:
+                    held.append(rows[start:end])
+                elif held:
+                    other = np.concatenate(held) if other is None else other
+                    step = max(1, 2_000_000 // len(other))
+                    for at in range(start, end, step):
+                        d = distances(rows[at : min(end, at + step)], other)
+                        d = np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
+                        yield pa.RecordBatch.from_arrays([ids.slice(at, len(d)), pa.array([x[np.isfinite(x)] for x in d], pa.list_(pa.float64()))], names=["id", "near"])
+                start = end
+
+    return run
+
+
+def _joined(asked: DataFrame, filed: DataFrame, counts: dict[int, int], k: int) -> DataFrame:
+    """(id, near) for rows (id, v, leaf): the k smallest distances in that cell, or in one of its blocks."""
+    spark, kind = asked.sparkSession, asked.schema["id"].dataType
+    wanted = {r["leaf"]: r["n"] for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many rows as cells
+    rows = [(leaf, -(-counts[leaf] // BLOCK_ROWS), -(-n // (4 * BLOCK_ROWS))) for leaf, n in wanted.items()]
+    sizes = F.broadcast(spark.createDataFrame(rows, "leaf bigint, blocks int, shares int"))
+    draw = lambda n: F.pmod(F.xxhash64("v"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
+    original = filed.join(sizes, "leaf").select("leaf", draw(F.col("blocks")).alias("block"), every(F.col("shares")).alias("share"), F.lit(None).cast(kind).alias("id"), "v")
+    tuples = asked.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), every(F.col("blocks")).alias("block"), "id", "v")
+    both = original.unionByName(tuples).repartition("leaf", "block", "share").sortWithinPartitions("leaf", "block", "share", F.col("id").isNotNull())
+    return both.mapInArrow(_met(k), f"id {kind.simpleString()}, near array<double>")
+
+
+def nearest(targets: DataFrame, originals: DataFrame, k: int = K, leaves: int = LEAVES) -> DataFrame:
+    """targets (id, v; ids unique) with near: the k smallest distances to originals (v), ascending."""
     kind = targets.schema["id"].dataType.simpleString()
-    out = targets.select("id", "v", F.array().cast("array<double>").alias("near"))
-
-    def blocks() -> Iterator[np.ndarray]:
-        held: list[list[float]] = []
-        for r in originals.select("v").toLocalIterator():
-            held.append([np.nan if x is None else x for x in r["v"]])
-            if len(held) == block_rows:
-                yield np.array(held, float)
-                held = []
-        if held:
-            yield np.array(held, float)
-
-    for block in blocks():
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            other = shared.value
-            there = (~np.isnan(other)).astype(float)
-            filled = np.nan_to_num(other)
-            for batch in batches:
-                step = max(1, 4_000_000 // max(1, other.shape[0]))
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    mine = np.array([[np.nan if x is None else x for x in v] for v in part.column("v").to_pylist()], float)
-                    here, own = (~np.isnan(mine)).astype(float), np.nan_to_num(mine)
-                    total = np.zeros((len(mine), len(other)))
-                    for d in range(mine.shape[1]):
-                        total += (own[:, d, None] - filled[None, :, d]) ** 2 * (here[:, d, None] * there[None, :, d])
-                    shared_dims = here @ there.T
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist = np.where(shared_dims > 0, np.sqrt(total / shared_dims), np.inf)
-                    if dist.shape[1] > k:
-                        dist = np.partition(dist, k - 1, axis=1)[:, :k]
-                    rows = []
-                    for mine_d, before in zip(dist, part.column("near").to_pylist(), strict=True):
-                        merged = np.sort(np.concatenate([mine_d[np.isfinite(mine_d)], before]))[:k]
-                        rows.append(merged)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "v", "near"])
-
-        out = out.mapInArrow(run, f"id {kind}, v array<double>, near array<double>")
-    return out
+    originals = written(originals.select("v"), "originals")
+    n = originals.count()
+    share = min(1.0, SAMPLE / max(1, n))
+    drawn = originals.where(F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1))
+    sample = drawn.toArrow().column("v").combine_chunks()
+    cells = Cells(_matrix(sample), leaves) if n else None
+    if cells is None:
+        return targets.select("id", "v", F.array().cast("array<double>").alias("near"))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(cells(_matrix(batch.column("v")))), batch.column("v")], names=["leaf", "v"])
+
+    filed = written(originals.mapInArrow(file, "leaf bigint, v array<double>"), "cells")
+    dims = range(len(sample[0]))
+    sides = [f(F.get("v", F.lit(d))).alias(f"{name}{d}") for d in dims for name, f in (("lo", F.min), ("hi", F.max))]
+    boxes = filed.groupBy("leaf").agg(F.count("*").alias("n"), *sides).collect()  # one row for each cell
+    numbers, counts = np.array([b["leaf"] for b in boxes]), np.array([b["n"] for b in boxes])
+    low, high = (np.array([[np.nan if b[f"{s}{d}"] is None else b[f"{s}{d}"] for d in dims] for b in boxes], float) for s in ("lo", "hi"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                least = bounds(_matrix(part.column("v")), low, high)
+                order = np.argsort(least, axis=1, kind="stable")
+                held = np.cumsum(counts[order], axis=1)
+                lists = [numbers[o[: 1 + int(np.searchsorted(h, k))]][np.isfinite(b[o[: 1 + int(np.searchsorted(h, k))]])] for o, h, b in zip(order, held, least, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(lists, pa.list_(pa.int64()))], names=["id", "v", "seen"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                least = bounds(_matrix(part.column("v")), low, high)
+                reach = part.column("reach").to_numpy(zero_copy_only=False)
+                lists = [numbers[(b < r) & ~np.isin(numbers, s)] for b, r, s in zip(least, np.where(np.isnan(reach), np.inf, reach), part.column("seen").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(lists, pa.list_(pa.int64()))], names=["id", "v", "more"])
+
+    size = dict(zip(numbers.tolist(), counts.tolist(), strict=True))
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
+    near_type = F.array().cast("array<double>")
+    begun = written(targets.select("id", "v").mapInArrow(first, f"id {kind}, v array<double>, seen array<bigint>"), "first")
+    found = _joined(begun.select("id", "v", F.explode("seen").alias("leaf")), filed, size, k).groupBy("id").agg(merged)
+    held = written(begun.join(found, "id", "left").withColumn("reach", F.get("near", F.lit(k - 1)).cast("double")), "found")
+    asked = held.select("id", "v", "seen", "reach").mapInArrow(rest, f"id {kind}, v array<double>, more array<bigint>").select("id", "v", F.explode("more").alias("leaf"))
+    more = _joined(written(asked, "rest"), filed, size, k)
+    both = held.select("id", F.coalesce("near", near_type).alias("near")).union(more).groupBy("id").agg(merged)
+    return held.select("id", "v").join(both, "id")
 
 
 def deviation(near: Column) -> Column:
@@ -108,14 +221,27 @@ def spread(modified: DataFrame, original: DataFrame, attributes: list[str], k: i
 def summary(risks: DataFrame) -> DataFrame:
     """One row (n, mean, min, max, q95, q99); a quantile is the value at floor(q * (n - 1)), zeros if there is none.
 
-    Ranks come from a window over one column of doubles, after counting; only the two ranked values leave it.
+    Values are counted, the distinct ones dealt into ranges; the ranges' sums tell which range holds a rank, and only that
+    range is gone through.
     """
-    n = risks.agg(F.count("*")).first()[0]
+    risks = written(risks.select("risk"), "risks")
     base = risks.agg(F.count("*").alias("n"), *[F.coalesce(f("risk"), F.lit(0.0)).alias(name) for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
-    ranked = risks.select("risk", (F.row_number().over(Window.orderBy("risk")) - 1).alias("r"))
-    at = [int(0.95 * (n - 1)), int(0.99 * (n - 1))] if n else [0, 0]
-    picked = ranked.agg(*[F.coalesce(F.max(F.when(F.col("r") == p, F.col("risk"))), F.lit(0.0)).alias(name) for name, p in zip(("q95", "q99"), at, strict=True)])
-    return base.join(picked)
+    counted = risks.groupBy("risk").agg(F.count("*").alias("n")).repartitionByRange("risk").withColumn("part", F.spark_partition_id())
+    counted = written(counted, "ranges")
+    before, starts = 0, []
+    for part, n in sorted((r["part"], r["n"]) for r in counted.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        starts.append((part, before, before + n))
+        before += n
+    picked = {}
+    for name, share in (("q95", 0.95), ("q99", 0.99)):
+        rank = int(share * (before - 1))
+        picked[name] = 0.0
+        for part, low, high in starts:
+            if low <= rank < high:
+                upto = F.sum("n").over(Window.partitionBy("part").orderBy("risk"))
+                rows = counted.where(F.col("part") == part).withColumn("upto", upto + F.lit(low))
+                picked[name] = rows.where(F.col("upto") > rank).agg(F.min("risk")).first()[0]
+    return base.withColumns({name: F.lit(value) for name, value in picked.items()})
 
 
 def cardinality_factor(n_original: int, n_modified: int) -> float:

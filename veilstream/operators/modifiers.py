@@ -2,7 +2,8 @@
 
 A block is a range of sequence numbers. Within a block a window function does the work; what a block needs from earlier
 ones (running bounds, or the last few valid values) is gathered from one short summary of each block, so that no task
-ever sees the whole stream.
+ever sees the whole stream. Each of the two reads its input twice; behind another one the input is written first, so that
+the work of a pipeline grows with the number of its operators.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from veilstream.functions.draws import gaussian, uniform
 from veilstream.plans.ir import Aggregate, Condition, Duplicate, Filter, MovingAggregate, Noise, Pipeline, RandomInRange, simplified
+from veilstream.sources.scratch import written
 from veilstream.sources.streams import q
 
-BLOCK_BITS = 20
+BLOCK_BITS = 17
 
 
 def value_of(stream: DataFrame, name: str) -> Column:
@@ -72,26 +74,20 @@ def apply_moving_aggregate(stream: DataFrame, node: MovingAggregate, bits: int =
     """A valid value becomes the average, minimum or maximum of the last valid values, itself included; NULL stays."""
     if node.attribute not in stream.columns:
         return stream
-    rows = _blocked(stream, node.attribute, bits)
+    rows = _blocked(stream, node.attribute, bits).withColumn("__own", F.lit(True))
     back = node.window - 1
-    valid = rows.where(F.col("__v").isNotNull()).select("__block", "seq", "dup_path", "__v")
-    if back:
+    if back:  # each block gets the last valid values before it: a few rows of each block, in order
         latest = Window.partitionBy("__block").orderBy(F.desc("seq"), F.desc("dup_path"))
-        tails = valid.withColumn("r", F.row_number().over(latest)).where(F.col("r") <= back)  # a few rows of each block
-        tails = tails.withColumn("g", F.row_number().over(Window.orderBy("seq", "dup_path"))).select("seq", "dup_path", "__v", "g", "__block")
-        ends = tails.groupBy("__block").agg(F.max("g").alias("end"))
-        all_blocks = rows.select("__block").distinct().join(ends, "__block", "left")
-        upto = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        starts = all_blocks.select("__block", F.max("end").over(upto).alias("end")).where(F.col("end").isNotNull())
-        carried = tails.select("seq", "dup_path", "__v", F.explode(F.sequence(F.col("g"), F.col("g") + back - 1)).alias("end"))
-        carried = carried.join(starts, "end").select("__block", "seq", "dup_path", "__v")
-        whole = valid.select("*", F.lit(True).alias("own")).union(carried.select("*", F.lit(False)))
-    else:
-        whole = valid.select("*", F.lit(True).alias("own"))
-    last = Window.partitionBy("__block").orderBy("seq", "dup_path").rowsBetween(-back, 0)
-    made = {Aggregate.AVG: F.avg, Aggregate.MIN: F.min, Aggregate.MAX: F.max}[node.function](F.col("__v")).over(last)
-    values = whole.withColumn("__new", made).where("own").select("seq", "dup_path", "__new")
-    return with_value(stream.join(values, ["seq", "dup_path"], "left"), node.attribute, F.col("__new")).select(*[q(c) for c in stream.columns])
+        valid = _blocked(stream, node.attribute, bits).where("__v is not null").select("__block", "seq", "dup_path", "__v")
+        tails = valid.withColumn("r", F.row_number().over(latest)).where(F.col("r") <= back)
+        order = Window.orderBy("__block", "seq", "dup_path")
+        tails = tails.withColumns({"before": F.collect_list(F.struct("seq", "dup_path", "__v")).over(order.rowsBetween(-back, -1)), "last": F.lag("__block").over(order)})
+        carried = tails.where("last <> __block").select("__block", F.inline("before"))
+        rows = rows.unionByName(carried.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    valid_rows = Window.partitionBy("__block", F.col("__v").isNull()).orderBy("seq", "dup_path").rowsBetween(-back, 0)
+    made = {Aggregate.AVG: F.avg, Aggregate.MIN: F.min, Aggregate.MAX: F.max}[node.function](F.col("__v")).over(valid_rows)
+    rows = rows.withColumn("__new", made).where("__own")
+    return with_value(rows, node.attribute, F.col("__new")).select(*[q(c) for c in stream.columns])
 
 
 def run_pipeline(stream: DataFrame, pipeline: Pipeline, seed: int = 0, bits: int = BLOCK_BITS) -> DataFrame:
@@ -99,9 +95,11 @@ def run_pipeline(stream: DataFrame, pipeline: Pipeline, seed: int = 0, bits: int
     _, nothing = simplified(pipeline)
     if nothing:
         return stream.where(F.lit(False))
-    out = stream
+    out, stateful = stream, False
     for number, node in enumerate(pipeline.nodes):
         salt = f"{seed}/{number}"
+        if isinstance(node, RandomInRange | MovingAggregate):
+            out, stateful = written(out, "stream") if stateful else out, True
         if isinstance(node, Filter):
             out = apply_filter(out, node)
         elif isinstance(node, Duplicate):
