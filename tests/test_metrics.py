@@ -98,3 +98,19 @@ def test_nearest_in_cells(spark, monkeypatch, leaves, block):
 def test_cardinality():
     assert cardinality_factor(10, 10) == 1.0 and cardinality_factor(10, 5) == 0.5 == cardinality_factor(5, 10)
     assert cardinality_factor(0, 0) == 1.0 and cardinality_factor(0, 3) == 0.0 and cardinality_factor(3, 0) == 0.0
+
+
+def test_predictions_take_the_first_similar_truth(spark):
+    """For equal times and keys, against the steps one by one."""
+    made = lambda values: stream(spark, [(0, "x", v, 1.0) for v in values])
+    rng = random.Random(3)
+    assert f1_counts(made([1.0, 10.0]), made([10.0]), ("a",), 0.1).first()["matched"] == 1
+    for _ in range(4):
+        truth, predicted = ([rng.choice([1.0, 1.05, 1.1, 2.0, None]) for _ in range(rng.randint(1, 6))] for _ in range(2))
+        left, matched = list(truth), 0
+        for p in predicted:
+            hit = next((k for k, t in enumerate(left) if None not in (t, p) and abs(t - p) / abs(t) <= 0.06), None)
+            if hit is not None:
+                left.pop(hit)
+                matched += 1
+        assert f1_counts(made(truth), made(predicted), ("a",), 0.06).first()["matched"] == matched

@@ -39,7 +39,10 @@ class AnalysisSpec:
 
 @dataclass
 class Analysis:
+    """stages by name; frames: the frames that they are parts of, each with the conditions of its stages."""
+
     stages: dict[str, DataFrame] = field(default_factory=dict)
+    frames: list[tuple[DataFrame, dict[str, Column]]] = field(default_factory=list)
 
     @property
     def output(self) -> DataFrame:
@@ -100,10 +103,11 @@ def sliding_average(stream: DataFrame, averaged: tuple[str, ...], size: int, sli
 
 def analyse(stream: DataFrame, spec: AnalysisSpec) -> Analysis:
     """The stages by name: source, after the first filter (if any), after the aggregate, output."""
-    stages = {"sourceStream": stream}
-    kept = stream
+    parts, kept = {"sourceStream": F.lit(True)}, stream
     if spec.before is not None:
-        kept = stages["afterFilter1"] = stream.where(spec.before(stream))
-    windows = stages["afterAggregate"] = sliding_average(kept, spec.averaged, spec.size, spec.slide, spec.flush_tail)
-    stages["outputStream"] = windows.where((F.col("event_type") != "EMPTY_WINDOW") & spec.after(windows))
-    return Analysis(stages)
+        parts["afterFilter1"] = spec.before(stream)
+        kept = stream.where(spec.before(stream))
+    windows = sliding_average(kept, spec.averaged, spec.size, spec.slide, spec.flush_tail)
+    results = {"afterAggregate": F.lit(True), "outputStream": (F.col("event_type") != "EMPTY_WINDOW") & spec.after(windows)}
+    frames = [(stream, parts), (windows, results)]
+    return Analysis({name: df.where(condition) for df, named in frames for name, condition in named.items()}, frames)

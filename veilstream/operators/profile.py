@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.operators.analysis import Analysis
@@ -16,20 +16,36 @@ def _checked(low: int, high: int, resolution: int) -> int:
     return (high - low) // resolution
 
 
+def _bucket(low: int, high: int, resolution: int) -> Column:
+    most = _checked(low, high, resolution)
+    return F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.col("ts") - low) / F.lit(resolution)))).cast("int").alias("bucket")
+
+
+def _counted(each: DataFrame) -> DataFrame:
+    """From (stream, bucket, key): first by key, so that distinct keys are counted without holding them."""
+    counted = each.groupBy("stream", "bucket", "key").agg(F.count("*").alias("n"))
+    return counted.groupBy("stream", "bucket").agg(F.sum("n").alias("tuples"), F.count("key").alias("keys"))
+
+
+def _key() -> Column:
+    return F.when(F.col("event_type") != "EMPTY_WINDOW", F.col("key")).alias("key")
+
+
 def profile(stream: DataFrame, name: str, low: int, high: int, resolution: int) -> DataFrame:
     """(stream, bucket, tuples, keys) of the buckets with tuples; markers count as tuples but not as keys."""
     if not name:
         raise ValueError("a profile needs a name")
-    most = _checked(low, high, resolution)
-    bucket = F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.col("ts") - low) / F.lit(resolution)))).cast("int")
-    each = stream.select(bucket.alias("bucket"), F.when(F.col("event_type") != "EMPTY_WINDOW", F.col("key")).alias("key"))
-    counted = each.groupBy("bucket", "key").agg(F.count("*").alias("n"))  # first by key: distinct keys without holding them
-    out = counted.groupBy("bucket").agg(F.sum("n").alias("tuples"), F.count("key").alias("keys"))
-    return out.select(F.lit(name).alias("stream"), "bucket", "tuples", "keys")
+    return _counted(stream.select(F.lit(name).alias("stream"), _bucket(low, high, resolution), _key()))
 
 
 def profile_stages(analysis: Analysis, low: int, high: int, resolution: int) -> DataFrame:
-    return reduce(DataFrame.unionByName, [profile(df, name, low, high, resolution) for name, df in analysis.stages.items()])
+    """The profiles of all stages; each frame of the analysis is gone through once for all stages that are parts of it."""
+    bucket = _bucket(low, high, resolution)
+    parts = []
+    for df, named in analysis.frames:
+        names = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in named.items()]))
+        parts.append(df.select(names.alias("names"), bucket, _key()).select(F.explode("names").alias("stream"), "bucket", "key"))
+    return _counted(reduce(DataFrame.unionByName, parts))
 
 
 def dense(profiles: DataFrame, names: list[str], low: int, high: int, resolution: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -51,6 +52,9 @@ class Problem:
             try:
                 self.known[name] = self._quality(pipeline)
             except Exception:  # noqa: BLE001 - a pipeline that cannot run is worth nothing
+                if self.stream.sparkSession.sparkContext._jsc.sc().isStopped():
+                    raise
+                logging.getLogger(__name__).exception("no scores for %s", name)
                 self.known[name] = dict.fromkeys(self.objectives, 0.0)
         return self.known[name]
 
