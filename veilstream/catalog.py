@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -18,7 +19,8 @@ from veilstream.plans import grammar as g
 from veilstream.plans.ir import Aggregate, Condition, Duplicate, Filter, MovingAggregate, Noise, Pipeline, RandomInRange
 from veilstream.plans.problem import Problem
 from veilstream.plans.search import nsga2
-from veilstream.sources.streams import attributes_of, column_stats, epoch_millis, from_table, from_text_rows, q, time_bounds
+from veilstream.sources.scratch import scratch_root
+from veilstream.sources.streams import attributes_of, column_stats, epoch_millis, from_table, from_text_rows, q, read_csv, time_bounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPEC = AnalysisSpec("events", ("value", "k"), at_least("value", 2.0, "k", 40.0), at_least("value", 5.0, "k", 60.0))
@@ -194,7 +196,11 @@ def _profile_dense(spark: SparkSession, d: str) -> DataFrame:
 
 _register("profile_dense", _profile_dense, analysis_sql(_events_sql(), _BEFORE, _AFTER).rstrip() + f", {_BOUNDS}, p as ({_cells('out', 'outputStream')}) select 'outputStream' as stream, cast(b as int) as bucket, coalesce(tuples, 0) as tuples, coalesce(keys, 0) as keys from (select unnest(range(0, (hi - lo) // 3600000 + 1)) as b from bounds) left join p on p.bucket = b")
 
-_BOTH = f"with {_profiles_sql('a', _events_sql())}, {_profiles_sql('b', pipeline_sql(THINNED))}"
+def _both_sql(pipeline: Pipeline) -> str:
+    return f"with {_profiles_sql('a', _events_sql())}, {_profiles_sql('b', pipeline_sql(pipeline))}"
+
+
+_BOTH = _both_sql(THINNED)
 _register("profile_diff", lambda spark, d: difference(*_two_profiles(spark, d, THINNED)[:2]), _BOTH + " select coalesce(ap.stream, bp.stream) as stream, coalesce(ap.bucket, bp.bucket) as bucket, coalesce(ap.tuples, 0) - coalesce(bp.tuples, 0) as tuples, coalesce(ap.keys, 0) - coalesce(bp.keys, 0) as keys from ap full join bp on ap.stream = bp.stream and ap.bucket = bp.bucket")
 
 
@@ -207,9 +213,9 @@ def _performance(filter_only: bool) -> Query:
     return query
 
 
-def _performance_sql(factor: float) -> str:
+def _performance_sql(factor: float, pipeline: Pipeline = THINNED) -> str:
     error = lambda c: f"case when coalesce(ap.{c}, 0) = 0 then case when coalesce(bp.{c}, 0) <> 0 then 1.0 else 0.0 end else pow((ap.{c} - coalesce(bp.{c}, 0)) / cast(ap.{c} as double), 2) end"
-    return _BOTH + f""", e as (select sqrt(sum({error('tuples')} + {error('keys')})) as distance from ap full join bp on ap.stream = bp.stream and ap.bucket = bp.bucket),
+    return _both_sql(pipeline) + f""", e as (select sqrt(sum({error('tuples')} + {error('keys')})) as distance from ap full join bp on ap.stream = bp.stream and ap.bucket = bp.bucket),
 m as (select sqrt(sum(case when tuples <> 0 then {factor} else 0.0 end + case when keys <> 0 then 1.0 else 0.0 end)) as d_max from ap)
 select round(distance, 6) as distance, round(d_max, 6) as d_max, round(greatest(0.0, 1.0 - distance / d_max), 6) as similarity from e, m"""
 
@@ -305,20 +311,62 @@ select 'value' as attribute, min(value) as min_value, max(value) as max_value, m
 from events where event_id % 5 <> 0 and event_id % 7 <> 0""")
 
 
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    """The events by way of headed CSV files with repeated headers and lines without a whole timestamp."""
+    rows = _text_events(spark, d)
+    whole = F.col("timestamp").cast("bigint")
+    broken = F.when(whole % 11 == 0, "timestamp").when(whole % 13 == 0, F.concat(F.lit("x"), F.col("timestamp"))).otherwise(F.col("timestamp"))
+    path = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
+    rows.withColumn("timestamp", broken).write.option("header", True).csv(path)
+    found = read_csv(spark, path, "USER")
+    return found.events.groupBy("key").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.lit(",".join(found.attributes)).alias("attributes"))
+
+
+_register("csv_load", _csv, """
+with e as (select *, epoch_us(ts) // 1000 as ms, event_id % 5 <> 0 and event_id % 7 <> 0 as valid from events)
+select cast(user_id as varchar) as key, count(*) as n, count(case when valid then 1 end) as n_valid, round(sum(case when valid then value end), 4) as total, min(ms) as first_ts, max(ms) as last_ts, 'value' as attributes
+from e where ms % 11 <> 0 and ms % 13 <> 0 group by 1""")
+
+_TRIED = Pipeline((Filter("value", Condition.GT, 8.0), Noise("k", 0.05)))
+
+
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     """The three scores of one pipeline."""
     problem = _problem(spark, d)
-    scores = problem.quality(Pipeline((Filter("value", Condition.GT, 8.0), Noise("k", 0.05))))
+    scores = problem.quality(_TRIED)
     return spark.createDataFrame([tuple(round(v, 6) for v in scores.values())], ", ".join(f"{n} double" for n in scores))
 
 
+def _quality_sql(pipeline: Pipeline) -> str:
+    gap = "sqrt((coalesce(pow((m.value - o.value) * fv, 2), 0) + coalesce(pow((m.k - o.k) * fk, 2), 0)) / (case when m.value is not null and o.value is not null then 1 else 0 end + case when m.k is not null and o.k is not null then 1 else 0 end))"
+    return f"""with performance as (select similarity from ({_performance_sql(4.0, pipeline)})), results as (select f1 from ({_f1_sql(pipeline, SPEC.tolerance)})),
+o as ({_events_sql()}), m as ({pipeline_sql(pipeline)}), f as (select 1.0 / stddev_samp(value) as fv, 1.0 / stddev_samp(k) as fk from o),
+near as (select m.seq, m.dup_path, min({gap}, 10) as d from m, o, f group by 1, 2), risk as (select list_aggregate(d, 'stddev_samp') as r from near)
+select (select similarity from performance) as performance, round(least((select count(*) from m) / cast((select count(*) from o) as double), (select count(*) from o) / cast((select count(*) from m) as double)) / (1.0 + (select avg(r) from risk)), 6) as privacy, (select f1 from results) as results"""
+
+
 def _problem(spark: SparkSession, d: str) -> Problem:
     return Problem(events(spark, d), SPEC, k=10)
 
 
 def _grammar_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = g.parse_grammar(g.generate_grammar(["value", "k"], g.AGGREGATES))
-    return spark.createDataFrame([(s, n, " ".join(o)) for s, options in rules.items() for n, o in enumerate(options)], "symbol string, n int, body string")
+    """The rules of the four grammars, as their text is read."""
+    sets = {"filters": g.FILTERS, "maps": g.MAPS, "aggregates": g.AGGREGATES, "rir": g.RIR}
+    rules = {name: g.parse_grammar(g.generate_grammar(["value", "k"], operators)) for name, operators in sets.items()}
+    rows = [(name, s, n, " ".join(o)) for name, grammar in rules.items() for s, options in grammar.items() for n, o in enumerate(options)]
+    return spark.createDataFrame(rows, "grammar string, symbol string, n int, body string")
+
+
+_GRAMMAR_SQL = """
+with sets(grammar, operators) as (values ('filters', ['filter']), ('maps', ['filter', 'map_duplicate', 'map_noise']), ('aggregates', ['filter', 'map_duplicate', 'map_noise', 'map_aggregate']), ('rir', ['filter', 'map_rir'])),
+bodies(needs, symbol, options) as (values
+  ('filter', 'pipeline', ['<operator>', '<operator> <pipeline>']), ('filter', 'filter', ['<attribute> <condition> <value>']), ('map_duplicate', 'map_duplicate', ['<probability>']),
+  ('map_noise', 'map_noise', ['<attribute> <percentage>']), ('map_rir', 'map_rir', ['<attribute>']), ('map_aggregate', 'map_aggregate', ['<attribute> <agg_fun> <window_size>']),
+  ('filter', 'attribute', ['''value''', '''k''']), ('filter', 'condition', ['lt', 'gt']), ('filter', 'value', ['<dig> . <dig> <dig> E <sign> <dig>']),
+  ('filter', 'dig', ['0', '1', '2', '3', '4', '5', '6', '7', '8', '9']), ('filter', 'sign', ['+', '-']), ('map_aggregate', 'agg_fun', ['min', 'avg', 'max']),
+  ('map_aggregate', 'window_size', ['3', '4', '5', '6', '7', '8', '9', '10']), ('map_duplicate', 'probability', ['0.1', '0.2', '0.3', '0.4', '0.5', '0.6', '0.7', '0.8', '0.9', '1.0']), ('map_noise', 'percentage', ['0.01', '0.05', '0.10', '0.25'])),
+rules as (select grammar, symbol, options from sets, bodies where list_contains(operators, needs) union all select grammar, 'operator', list_transform(operators, lambda o: '<' || o || '>') from sets)
+select grammar, '<' || symbol || '>' as symbol, cast(unnest(range(len(options))) as int) as n, unnest(options) as body from rules"""
 
 
 def _front(spark: SparkSession, d: str) -> DataFrame:
@@ -330,8 +378,8 @@ def _front(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(str(g.to_pipeline(p.tree)), *p.quality) for p in people], "pipeline string, performance double, privacy double, results double")
 
 
-_register("quality_three_objectives", _quality, None)
-_register("grammar_rules", _grammar_rules, None)
+_register("quality_three_objectives", _quality, _quality_sql(_TRIED))
+_register("grammar_rules", _grammar_rules, _GRAMMAR_SQL)
 _register("search_front", _front, None)
 
 
