@@ -21,7 +21,7 @@ ROWS = [
     (8, "123 456", "de"),
 ]
 #: Names that the operators use inside.
-CLASH = ["fp", "row", "key", "ids", "hits", "label", "a", "b", "score", "lang_pred", "line", "pos", "n", "first", "draw", "held_out", "kind", "__copy"]
+CLASH = ["fp", "row", "key", "ids", "hits", "label", "a", "b", "score", "lang_pred", "line", "pos", "n", "first", "draw", "held_out", "kind", "__copy", "n_lines", "n_dropped", "__row", "__text", "__id", "__hash", "dropped", "doc", "digest", "size", "bands", "chunk", "grp", "special", "record"]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def items(spark):
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(1, "http://a.com/en/1", "<p>Text one.</p>"), (1, "http://a.com/en/1", "<p>Text one.</p>"), (2, None, None), (None, "", ""), (3, "no scheme", "<p>" * 2000 + "deep"), (4, "http://[/?#", "<" * 500 + "a b='"), (5, "://x.net/de/8", "<p>plain &amp; text, long enough.")]
+    rows = [(1, "http://a.com/en/1", "<p>Text one.</p>"), (1, "http://a.com/en/1", "<p>Text one.</p>"), (2, None, None), (None, "", ""), (3, "no scheme", "<p>" * 2000 + "deep"), (4, "http://[/?#", "<" * 500 + "a b='"), (5, "://x.net/de/8", "<p>plain &amp; text, long enough."), (6, "http://a.com/" + "x1/" * 300_000, None)]
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ["text", "host", "rule", "length", "one", "n"]})
 
 
@@ -51,6 +51,8 @@ OPERATORS = {
     "lm": lambda d, i: lm_ppm.score_documents(d, F.coalesce(F.col("doc_id") == 3, F.lit(False))),
     "media": lambda d, i: media.store_and_sniff(d),
     "simhash": lambda d, i: simhash.near_duplicates(d),
+    "sniff": lambda d, i: media.sniff_column(d, "text", "lang"),
+    "clean": lambda d, i: decontam.clean(d, i, least_items=9),
 }
 
 
@@ -96,6 +98,7 @@ def test_keep_first_and_stages(spark, docs, items, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for df in (docs, docs.where("false")):
             assert stage(spark, df, str(tmp_path)).columns == docs.columns, name
+            assert stage(spark, df.drop("n_chars"), str(tmp_path)).columns == [c for c in docs.columns if c != "n_chars"], name
     assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == len(ROWS)
 
 
@@ -107,7 +110,7 @@ def test_cut_passages(docs, items):
 
 
 def test_pages(spark, pages):
-    for df, n in ((pages, 7), (pages.where("false"), 0)):
+    for df, n in ((pages, 8), (pages.where("false"), 0)):
         assert html_extract.extract_pages(df).count() == n
         assert url_gbt.judge_urls(df).count() == n
     out = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}

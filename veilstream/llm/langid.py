@@ -7,7 +7,8 @@ sample: FIT_ROWS training rows, shared evenly among the languages and drawn by a
 is left out of the fit and sets the temperature by which scores are calibrated. Every text is read whole.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows with a null language teach nothing;
-without training rows all texts are `und`; ties go to the alphabetically first language; repeated rows repeat.
+without training rows all texts are `und`; ties go to the alphabetically first language; repeated rows repeat; very long
+texts are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

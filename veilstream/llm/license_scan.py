@@ -9,7 +9,8 @@ reported, of overlapping ones that with the most equal words. Lines with a cue w
 are reported as blocks without a license, with the template that saves most.
 
 Defined cases: null and empty texts have no blocks and no licenses; ties in the ranking go to the template's id;
-repeated rows give repeated rows; other columns are ignored.
+repeated rows give repeated rows; very long texts and lines are read whole; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,6 +54,16 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "All rights reserved."),
 ]
 
+#: Identifiers of the public SPDX list, by the license they stand for.
+SPDX = {
+    "Apache-2.0": ["Apache-2.0"], "MIT": ["MIT"], "BSD-2-Clause": ["BSD-2-Clause"], "BSD-3-Clause": ["BSD-3-Clause"], "ISC": ["ISC"],
+    "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"], "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "LGPL-3.0": ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"], "AGPL-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "MPL-2.0": ["MPL-2.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC-BY-ND-4.0": ["CC-BY-ND-4.0"],
+    "CC-BY-NC-SA-4.0": ["CC-BY-NC-SA-4.0"], "CC0-1.0": ["CC0-1.0"], "Unlicense": ["Unlicense"],
+}
+TEMPLATES += [(name, f"SPDX-License-Identifier: {i}") for name, ids in SPDX.items() for i in ids]
+
 #: Words by which licenses are told apart; a difference in one of them rules a template out.
 TELLING = set("apache mit bsd isc gnu gpl lgpl agpl general lesser affero library mozilla mpl cc by nc sa nd cc0 commons".split())
 #: What makes a line a candidate, as lower-case UTF-8.

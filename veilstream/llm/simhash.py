@@ -13,8 +13,9 @@ of blocks instead, so no task holds more than two blocks of it. A key's links ar
 they are found, so that a group of thousands gives no more links than it has members, and connects the same documents.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other; fewer words than a
-shingle make one shingle; a null doc_id is never the smallest; repeated rows are copies; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+shingle make one shingle; a null doc_id is never the smallest; repeated rows are copies; as many bits set as not is no
+tie, the bit is zero; very long texts are read whole; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
