@@ -100,3 +100,33 @@ def test_repeated_header_is_skipped(spark, tmp_path):
     path.write_text("timestamp,a\n1,2\ntimestamp,a\n2,3\n")
     loaded = read_csv(spark, str(path))
     assert loaded.events.count() == 2 and loaded.attributes == ["a"]
+
+
+def test_grammar_helpers():
+    assert g.integer_rule("<int>", 1, 3) == "<int> ::= <digit> | <non_zero_digit> <digit> | <non_zero_digit> <digit> <digit>\n"
+    assert g.fraction_rule("<frac>") == "<frac> ::= <digit>\n" and g.clean_name("PT08.S1(CO)") == "PT08_S1_CO"
+
+
+EXPERIMENT = """$basePath = ''runs/{^^.name}/{^^.startTime}/''
+ea.experiment(runs = (randomGenerator = (seed = [1:1:2]) * [m.defaultRG()]) * [ea.run(
+  solver = ea.s.nsga2(stop = ea.sc.nOfQualityEvaluations(n = 2); representation = ea.r.cfgTree(grammar = ea.grammar.fromFile(path = "GRAMMAR")));
+  problem = anonym.problem.anonymizationProblem2OPerf(inputCsvPath = "INPUT"; grammarPath = "GRAMMAR"; privacyMetric = K_ANONYMITY_CARDINALITY_MAX; keyColumn = "user"))])"""
+
+
+def test_experiment_by_file(spark, tmp_path):
+    from veilstream.plans.files import problem_from_files, read_experiment, run_file
+    from veilstream.sources.sinks import write_grammar
+
+    rng = random.Random(2)
+    lines = [f"{rng.choice('xy')},{k * 600_000},{341097.79 + rng.uniform(-900, 900)},{111055.5 + rng.uniform(-900, 900)}" for k in range(80)]
+    (tmp_path / "in.csv").write_text("user,timestamp,avg_X,avg_Y\n" + "\n".join(lines) + "\n")
+    write_grammar(g.generate_grammar(["avg_X", "avg_Y"], g.RIR), str(tmp_path / "grammar.bnf"))
+    text = EXPERIMENT.replace("INPUT", str(tmp_path / "in.csv")).replace("GRAMMAR", str(tmp_path / "grammar.bnf"))
+    (tmp_path / "try.txt").write_text(text)
+    e = read_experiment(text)
+    assert (e.builder, e.seeds, e.evaluations, e.key_column, e.privacy_metric) == ("anonymizationProblem2OPerf", (1, 2), 2, "user", "K_ANONYMITY_CARDINALITY_MAX")
+    problem = problem_from_files(spark, "anonymizationProblem2O", e.input_csv_path, e.grammar_path, e.privacy_metric, e.key_column, k=3)
+    assert problem.quality(Pipeline()) == {"privacy": pytest.approx(problem.quality(Pipeline())["privacy"]), "results": 1.0} and not problem.filter_only
+    folder = run_file(spark, str(tmp_path / "try.txt"), str(tmp_path / "out"), k=3)
+    rows = spark.read.option("header", True).csv(f"{folder}/solutions").collect()
+    assert "/out/runs/try/" in folder and [r["seed"] for r in rows] == ["001", "002"] and "p75_privacy_solution" in rows[0].asDict()

@@ -1,6 +1,6 @@
 """Experiments: named presets, runs over seeds, and their tables of solutions and traces.
 
-Run as a program: python -m veilstream.plans.experiment -p PRESET -i INPUT -o OUTPUT [-e EVALUATIONS] [-nt THREADS] [-v]
+Run as a program: python -m veilstream.plans.experiment (-p PRESET -i INPUT | -f FILE) -o OUTPUT [-e EVALUATIONS] [-nt THREADS] [-v]
 """
 
 from __future__ import annotations
@@ -40,11 +40,14 @@ PRESETS = {
 }
 
 
-def run_experiment(stream: DataFrame, preset: Preset, output: str | None = None, evaluations: int | None = None, threads: int = 1, verbose: bool = False, **problem) -> tuple[list[dict], list[dict]]:
-    """(solutions, traces): the individuals at percentiles 100 and 75 by each objective, and medians by generation."""
+def run_experiment(stream: DataFrame, preset: Preset, output: str | None = None, evaluations: int | None = None, threads: int = 1, verbose: bool = False, rules: g.Grammar | None = None, **problem) -> tuple[list[dict], list[dict]]:
+    """(solutions, traces): the individuals at percentiles 100 and 75 by each objective, and percentiles by generation.
+
+    rules: the grammar, where it does not follow from the preset's operators.
+    """
     spark = stream.sparkSession
-    made = Problem(stream, ANALYSES[preset.analysis] if isinstance(preset.analysis, str) else preset.analysis, preset.objectives, preset.metric, preset.operators == g.FILTERS, **problem)
-    rules = g.parse_grammar(g.generate_grammar(made.attributes, preset.operators))
+    made = Problem(stream, ANALYSES[preset.analysis] if isinstance(preset.analysis, str) else preset.analysis, preset.objectives, preset.metric, g.is_filter_only(rules) if rules else preset.operators == g.FILTERS, **problem)
+    rules = rules or g.parse_grammar(g.generate_grammar(made.attributes, preset.operators))
     solutions, traces = [], []
     for seed in preset.seeds:
         people = []
@@ -70,14 +73,23 @@ def run_experiment(stream: DataFrame, preset: Preset, output: str | None = None,
 
 def main(arguments: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
-    p.add_argument("-p", "--preset", choices=sorted(PRESETS), required=True)
-    p.add_argument("-i", "--input", required=True)
+    what = p.add_mutually_exclusive_group(required=True)
+    what.add_argument("-p", "--preset", choices=sorted(PRESETS))
+    what.add_argument("-f", "--file", help="the text form of an experiment")
+    p.add_argument("-i", "--input")
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-e", "--evaluations", type=int)
     p.add_argument("-nt", "--threads", type=int, default=1)
     p.add_argument("-v", "--verbose", action="store_true")
     a = p.parse_args(arguments)
     spark = SparkSession.builder.config("spark.scheduler.mode", "FAIR").getOrCreate()
+    if a.file:
+        from veilstream.plans.files import run_file
+
+        run_file(spark, a.file, a.output, a.evaluations, a.threads, a.verbose)
+        return
+    if not a.input:
+        p.error("a preset needs an input")
     preset = PRESETS[a.preset]
     run_experiment(read_csv(spark, a.input, preset.key).events, preset, a.output, a.evaluations, a.threads, a.verbose)
 

@@ -56,6 +56,22 @@ def generate_grammar(attributes: list[str], operators: tuple[str, ...] = AGGREGA
     return "".join(f"<{name}> ::= {body}\n" for name, body in rules.items())
 
 
+def integer_rule(name: str, least_digits: int, most_digits: int) -> str:
+    """A rule for whole numbers with so many digits, without leading zeros."""
+    options = ["<digit>" if n == 1 else "<non_zero_digit>" + " <digit>" * (n - 1) for n in range(least_digits, most_digits + 1)]
+    return f"{name} ::= {' | '.join(options)}\n"
+
+
+def fraction_rule(name: str, digits: int = 1) -> str:
+    """A rule for so many digits behind the point."""
+    return f"{name} ::= {' '.join(['<digit>'] * digits)}\n"
+
+
+def clean_name(attribute: str) -> str:
+    """Letters and digits, anything between them as one underscore."""
+    return "_".join(re.findall(r"[a-zA-Z0-9]+", attribute))
+
+
 _SYMBOL = re.compile(r"'[^']*'|<[^<>\s]+>|\||[^\s|]+")
 
 
