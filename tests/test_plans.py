@@ -69,6 +69,9 @@ def test_experiment(spark, tmp_path):
     assert len(solutions) == 1 and "p75_privacy_solution" in solutions[0] and len(traces) == 1
     assert len(PRESETS) == 5
     assert (tmp_path / "solutions").exists()
+    assert traces[0]["privacy_p75_results"] >= 0.0
+    dots = (tmp_path / "scatter-privacy-vs-results-001.svg").read_text()
+    assert dots.count("<circle") == 3 and (tmp_path / "privacy_p75.svg").read_text().count("<polyline") == 1 and (tmp_path / "results_p75_privacy.svg").exists()
 
 
 CSV = """SensorID,timestamp,CO(GT),note,ID,T,void
@@ -120,7 +123,7 @@ def test_experiment_by_file(spark, tmp_path):
     rng = random.Random(2)
     lines = [f"{rng.choice('xy')},{k * 600_000},{341097.79 + rng.uniform(-900, 900)},{111055.5 + rng.uniform(-900, 900)}" for k in range(80)]
     (tmp_path / "in.csv").write_text("user,timestamp,avg_X,avg_Y\n" + "\n".join(lines) + "\n")
-    write_grammar(g.generate_grammar(["avg_X", "avg_Y"], g.RIR), str(tmp_path / "grammar.bnf"))
+    write_grammar(g.generate_grammar(["avg_X", "avg_Y"], g.RIR), f"file://{tmp_path}/grammar.bnf")
     text = EXPERIMENT.replace("INPUT", str(tmp_path / "in.csv")).replace("GRAMMAR", str(tmp_path / "grammar.bnf"))
     (tmp_path / "try.txt").write_text(text)
     e = read_experiment(text)

@@ -3,7 +3,7 @@ from test_operators import random_rows, stream
 from veilstream.operators.analysis import AnalysisSpec, analyse, at_least
 from veilstream.operators.modifiers import run_pipeline
 from veilstream.plans.ir import Aggregate, Condition, Duplicate, Filter, MovingAggregate, Noise, Pipeline, RandomInRange
-from veilstream.streaming.analysis import run_to_table, sliding_average_stream, stream_of_files
+from veilstream.streaming.analysis import run_to_table, sliding_average_stream, stream_of_files, windows_stream
 from veilstream.streaming.modifiers import run_pipeline_stream
 
 SPEC = AnalysisSpec("t", ("a", "b"), at_least("a", -4.0, "b", 0.0), at_least("a", -9.0, "b", 0.0))
@@ -22,14 +22,18 @@ def files(spark, tmp_path, rows):
 
 
 def rounded(df):
-    return sorted((r["seq"], r["dup_path"], r["ts"], r["key"], None if r["a"] is None else round(r["a"], 9), None if r["b"] is None else round(r["b"], 9)) for r in df.collect())
+    return sorted(((r["seq"], r["dup_path"], r["ts"], r["key"], None if r["a"] is None else round(r["a"], 9), None if r["b"] is None else round(r["b"], 9)) for r in df.collect()), key=str)
 
 
 def test_analysis_as_in_batch(spark, tmp_path):
     whole, arriving = files(spark, tmp_path, random_rows(200))
     query = run_to_table(sliding_average_stream(arriving, SPEC), "analysed")
     query.awaitTermination()
-    assert rounded(spark.table("analysed")) == rounded(analyse(whole, SPEC).output)
+    batch = analyse(whole, SPEC)
+    assert rounded(spark.table("analysed")) == rounded(batch.output)
+    run_to_table(windows_stream(arriving, SPEC), "windows").awaitTermination()
+    assert [r[3] for r in rounded(spark.table("windows"))].count("-1") > 5
+    assert rounded(spark.table("windows")) == rounded(batch.stages["afterAggregate"])
 
 
 def test_modifiers_as_in_batch(spark, tmp_path):

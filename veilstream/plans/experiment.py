@@ -6,6 +6,7 @@ Run as a program: python -m veilstream.plans.experiment (-p PRESET -i INPUT | -f
 from __future__ import annotations
 
 import argparse
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from veilstream.plans.problem import ALL, Problem
 from veilstream.metrics.privacy import PrivacyMetric
 from veilstream.operators.analysis import ANALYSES
 from veilstream.plans.search import nsga2, percentile
-from veilstream.sources.sinks import write_solutions
+from veilstream.sources.sinks import write_lines, write_scatter, write_solutions
 from veilstream.sources.streams import read_csv
 
 
@@ -55,10 +56,16 @@ def run_experiment(stream: DataFrame, preset: Preset, output: str | None = None,
         for generation, people in enumerate(nsga2(rules, evaluate, evaluations or preset.evaluations, seed, threads=threads)):
             row = {"seed": seed, "generation": generation, "best_size": min(p.tree.size() for p in people)}
             for k, name in enumerate(preset.objectives):
-                row |= {f"{name}_p{p}": percentile(people, k, p).quality[k] for p in (50, 75, 100)}
+                for p in (50, 75, 100):  # and what the individual at that percentile has of the other objectives
+                    chosen = percentile(people, k, p).quality
+                    row |= {f"{name}_p{p}": chosen[k]} | {f"{name}_p{p}_{o}": chosen[j] for j, o in enumerate(preset.objectives) if j != k}
             traces.append(row)
             if verbose:
                 print(row)
+        if output:
+            for i, j in itertools.combinations(range(len(preset.objectives)), 2):
+                x, y = preset.objectives[i], preset.objectives[j]
+                write_scatter([(p.quality[i], p.quality[j]) for p in people], x, y, f"{output}/scatter-{x}-vs-{y}-{seed:03d}.svg")
         row = {"seed": f"{seed:03d}"}
         for p in (100, 75):
             for k, name in enumerate(preset.objectives):
@@ -68,6 +75,9 @@ def run_experiment(stream: DataFrame, preset: Preset, output: str | None = None,
     if output:
         write_solutions(spark, solutions, f"{output}/solutions")
         write_solutions(spark, traces, f"{output}/traces")
+        for name in [c for c in traces[0] if "_p75" in c]:
+            by_seed = {str(s): [t[name] for t in traces if t["seed"] == s] for s in preset.seeds}
+            write_lines(by_seed, "generation", name, f"{output}/{name}.svg")
     return solutions, traces
 
 

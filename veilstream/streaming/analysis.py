@@ -11,8 +11,8 @@ from veilstream.operators.analysis import AnalysisSpec
 from veilstream.sources.streams import GLOBAL_KEY, attributes_of, event_type_of, q
 
 
-def sliding_average_stream(stream: DataFrame, spec: AnalysisSpec, delay: str = "0 seconds") -> DataFrame:
-    """Rows as the batch form's afterAggregate, without markers for windows that are not fresh; then the last filter."""
+def windows_stream(stream: DataFrame, spec: AnalysisSpec, delay: str = "0 seconds") -> DataFrame:
+    """Rows as the batch form's afterAggregate, markers for windows without a fresh result among them."""
     others = [c for c in attributes_of(stream) if c not in spec.averaged]
     kept = stream if spec.before is None else stream.where(spec.before(stream))
     valid = F.lit(True)
@@ -23,10 +23,22 @@ def sliding_average_stream(stream: DataFrame, spec: AnalysisSpec, delay: str = "
     last = F.max_by(F.struct("seq", "dup_path", "ts", "event_type", *[q(c) for c in others]), place).alias("__last")
     averages = [F.avg(F.when(valid, q(c))).alias(f"__a{k}") for k, c in enumerate(spec.averaged)]
     windows = timed.groupBy("key", F.window("__time", f"{spec.size} milliseconds", f"{spec.slide} milliseconds")).agg(last, *averages)
-    windows = windows.where(F.col("__last.ts") >= F.unix_millis("window.end") - spec.slide)
-    value = lambda c: (F.col(f"__a{spec.averaged.index(c)}") if c in spec.averaged else F.col("__last").getField(c)).alias(c)
-    out = windows.select("__last.seq", "__last.dup_path", "__last.ts", "key", "__last.event_type", *[value(c) for c in attributes_of(stream)])
-    return out.where(spec.after(out))
+    fresh = F.coalesce(F.col("__last.ts") >= F.unix_millis("window.end") - spec.slide, F.lit(False))
+    value = lambda c: F.when(fresh, F.col(f"__a{spec.averaged.index(c)}") if c in spec.averaged else F.col("__last").getField(c)).alias(c)
+    return windows.select(
+        F.when(fresh, F.col("__last.seq")).otherwise(-1).cast("bigint").alias("seq"),
+        F.when(fresh, F.col("__last.dup_path")).otherwise("").alias("dup_path"),
+        F.when(fresh, F.col("__last.ts")).otherwise(F.unix_millis("window.start")).alias("ts"),
+        F.when(fresh, F.col("key")).otherwise("-1").alias("key"),
+        F.when(fresh, F.col("__last.event_type")).otherwise("EMPTY_WINDOW").alias("event_type"),
+        *[value(c) for c in attributes_of(stream)],
+    )
+
+
+def sliding_average_stream(stream: DataFrame, spec: AnalysisSpec, delay: str = "0 seconds") -> DataFrame:
+    """Rows as the batch form's output."""
+    out = windows_stream(stream, spec, delay)
+    return out.where((F.col("event_type") != "EMPTY_WINDOW") & spec.after(out))
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
