@@ -434,6 +434,17 @@ def test_item_blocks(spark, monkeypatch):
     assert rows() == rows(block_bytes=100) and rows()[0][3] == "6"
 
 
+def test_offsets_of_many_spans():
+    """Spans of every second pair of words, against a search for the words one by one, in linear time."""
+    text = "é, Ab c-d\n" * 30_000
+    words = list(re.finditer("[éAbcd]+", text))
+    norm = decontam.normalise(text.encode())
+    spaces = [i for i, c in enumerate(norm) if c == " "]
+    began = time.process_time()
+    got = decontam.original_offsets(text.encode(), [[spaces[k], spaces[k + 2]] for k in range(1, len(words) - 2, 4)])
+    assert got == [(words[k].start(), words[k + 1].end()) for k in range(1, len(words) - 2, 4)] and time.process_time() - began < 5
+
+
 def test_reach():
     rng = random.Random(8)
     for _ in range(300):
@@ -554,6 +565,13 @@ def test_licenses_in_lines_long_lines_and_pairs():
     assert names("# SPDX-License-Identifier: GPL-2.0-only\nint main;") == ["GPL-2.0"] and names("/* SPDX-License-Identifier: MIT */") == ["MIT"]
 
 
+@pytest.mark.parametrize("part, blocks", [("SPDX license identifier MIT\n", 10_000), ("copyright\n", 10_000), ("license identifier ", 1), ("the copyright of this software and ", 1)])
+def test_many_notices_and_long_lines(part, blocks):
+    began = time.process_time()
+    assert len(license_scan.scan_text((part * 10_000).encode())) == blocks
+    assert time.process_time() - began < 20
+
+
 def test_notices_against_all_places():
     """Of forms wrapped, commented, changed or cut, every window of every template's size tried by its differing words."""
     rng = random.Random(7)

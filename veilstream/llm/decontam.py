@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -35,6 +36,7 @@ WINDOW, ANCHOR = 8, 4
 STEP = WINDOW - ANCHOR + 1
 PART_WORDS = 4096
 
+_WORD = re.compile(rb"[^ ]+")
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()  # A-Z to a-z, other ASCII to space
 
 
@@ -198,20 +200,17 @@ def _records(hits: list[list[Hit]]) -> list[list[dict]]:
 
 
 def original_offsets(raw: bytes, spans: list[list[int]]) -> list[tuple[int, int]]:
-    """Character offsets [start, end) in the original text for spans between spaces of its normalised form."""
-    plain = raw.translate(_TABLE)
-    starts, ends, at = [], [], 0
-    for w in plain.split():
-        at = plain.index(w, at)
-        starts.append(at)
-        at += len(w)
-        ends.append(at)
-    text = normalise(raw)
-    out = []
+    """Character offsets [start, end) in the original text for ascending spans between spaces of its normalised form."""
+    words = [m.span() for m in _WORD.finditer(raw.translate(_TABLE))]
+    text, out = normalise(raw), []
+    seen = at = chars = word = 0  # up to where the normalised form, and the raw text, are counted
     for a, b in spans:
-        first, last = text.count(" ", 0, a), text.count(" ", 0, b) - 1
-        begin = len(raw[: starts[first]].decode())
-        out.append((begin, begin + len(raw[starts[first] : ends[last]].decode())))
+        first = word + text.count(" ", seen, a)
+        word, seen = first + text.count(" ", a, b), b
+        start, end = words[first][0], words[word - 1][1]
+        begin = chars + len(raw[at:start].decode())
+        chars, at = begin + len(raw[start:end].decode()), end
+        out.append((begin, chars))
     return out
 
 

@@ -15,6 +15,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections import Counter
@@ -191,11 +192,12 @@ def scan_text(raw: bytes) -> list[dict]:
     text = raw.decode()
     sure = notices(text)
     out = [{"offset": a, "length": b - a, "license": name, "saved": saved, "differences": diff} for a, b, name, saved, diff in sure]
-    chars, at = 0, 0
+    chars, at, starts = 0, 0, [x[0] for x in sure]
     for a, b in candidate_blocks(raw):
         chars, at = chars + len(raw[at:a].decode()), a
         block = raw[a:b].decode()
-        if not any(x < chars + len(block) and chars < y for x, y, *_ in sure):
+        before = bisect.bisect_left(starts, chars + len(block))  # notices do not overlap: the last of these ends last
+        if not before or sure[before - 1][1] <= chars:
             name, saved, diff = judge(block)
             out.append({"offset": chars, "length": len(block), "license": name, "saved": saved, "differences": diff})
     return sorted(out, key=lambda x: x["offset"])
