@@ -287,6 +287,83 @@ def test_near_copies_by_similarity(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
 
 
+def plain_meetings(fps):
+    """Pairs of rows that agree in a segment but for one bit at most, and are near in that fingerprint and the next."""
+    out = set()
+    for (i, a), (j, b) in itertools.combinations(enumerate(fps), 2):
+        x = [int(p) ^ int(q) for p, q in zip(a, b)]
+        for f, word in enumerate(x):
+            if any((word >> s & (1 << 18) - 1).bit_count() <= 1 for s in (0, 18, 36)) and word.bit_count() + x[(f + 1) % len(x)].bit_count() <= simhash.NEAR:
+                out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize(("block", "crowd", "pairs"), [(1 << 17, 256, 1 << 19), (8, 256, 64), (16, 2, 1 << 19), (1 << 17, 0, 8)])
+def test_near_dedup_meets_by_wiped_segments(spark, monkeypatch, block, crowd, pairs):
+    """Candidates are the sets whose fingerprints' segments agree with one bit wiped, whatever the sizes of blocks and crowds."""
+    for name, value in (("HALF_BLOCK", block), ("CROWD", crowd), ("PAIRS", pairs)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(3)
+    sets = []
+    for k in range(60):
+        base = rng.integers(0, 1 << 63, rng.choice([6, 40, 300]), dtype=np.uint64) if k % 6 == 0 else base
+        own = base.copy()
+        changed = rng.random(len(own)) < 0.04 * (k % 6)
+        own[changed] = rng.integers(0, 1 << 63, changed.sum(), dtype=np.uint64)
+        sets.append(np.unique(own))
+    fps = simhash.wide_fingerprints(sets)
+    want = plain_meetings(fps)
+    assert len(want) > 60
+    rows = spark.createDataFrame([(k, len(s), [int(x) for x in f]) for k, (s, f) in enumerate(zip(sets, fps))], "node bigint, size bigint, fps array<bigint>")
+    halved = simhash._halved(rows).toPandas().sort_values(["key", "cell"])
+    group, a, b = simhash.meetings(*(halved[c].to_numpy(t).view(u) for c, t, u in (("key", "i8", "i8"), ("cell", "i8", "i8"), ("node", "i8", "i8"), ("fp", "i8", "u8"), ("more", "i8", "u8"))))
+    got = {(x, y) for g, x, y in zip(group.tolist(), a.tolist(), b.tolist()) if g == 0}
+    assert got <= want
+    crowds = collections.defaultdict(set)
+    for g, x, y in zip(group.tolist(), a.tolist(), b.tolist()):
+        if g:
+            crowds[g].add(y)
+            assert x <= y
+    assert crowds if crowd < 256 else not crowds or pairs < 1 << 19
+    assert all((x, y) in got or any({x, y} <= c for c in crowds.values()) for x, y in want)
+
+
+def test_wide_fingerprints():
+    """By bits of each mixed hash, one by one, for sets beyond a block of votes too."""
+    rng = np.random.default_rng(1)
+    draw = np.random.default_rng(42)
+    add, factor = ([int(x) for x in draw.integers(0, 1 << 64, simhash.FINGERPRINTS, dtype=np.uint64)] for _ in range(2))
+    for n in (0, 1, 4, 255, 700):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        want = []
+        for a, m in zip(add, factor):
+            votes = [0] * simhash.WIDE
+            for h in hashes.tolist():
+                x = (h ^ a) * (m | 1) % (1 << 64)
+                x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 % (1 << 64)
+                x ^= x >> 29
+                votes = [v + (x >> b & 1) for b, v in enumerate(votes)]
+            want.append(sum(1 << b for b, v in enumerate(votes) if 2 * v > n))
+        assert simhash.wide_fingerprints([hashes])[0].tolist() == want
+
+
+@pytest.mark.parametrize("crowd", [256, 0])
+def test_no_near_copy_is_missed(spark, monkeypatch, crowd):
+    """Pairs at a similarity of 0.8 or a little more, short and long; none is missed, and none below 0.8 links."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(8)
+    rows, near = [], 0
+    for k in range(300):
+        words = [f"w{k}x{i}" for i in range(rng.choice([8, 12, 20, 49, 120, 400]))]
+        most = (len(words) - 4) // 4  # words behind the text that make no more than a quarter of new shingles
+        more = rng.choice([most, most, most + 1])
+        near += more <= most
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *(f"n{k}x{i}" for i in range(more))]))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {2 * k for k in range(300)} <= ids and len(ids) == 600 - near
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_dense_groups_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)

@@ -36,8 +36,13 @@ BITS = 4
 #: First bit and mask of each segment.
 SEGMENTS = [(0, (1 << 21) - 1), (21, (1 << 21) - 1), (42, (1 << 22) - 1)]
 BLOCK = 4096
-#: Of keep_first: keys of each set of shingles, and least hashes in a key; shingles that a task holds of a side of a key.
-BANDS, ROWS = 32, 5
+#: Of keep_first: fingerprints of each set of shingles, their bits, and the bits of half of one of their three segments.
+FINGERPRINTS, WIDE, HALF = 18, 54, 9
+#: Bits by which near sets may differ in two of the fingerprints (met in a segment), and in all of them.
+NEAR, NEAR_ALL = 28, FINGERPRINTS * WIDE // 4
+#: Members of a half that a task holds; pairs compared at once; near pairs of a key that are listed one by one.
+HALF_BLOCK, PAIRS, CROWD = 1 << 17, 1 << 19, 256
+#: Shingles that a task holds of a side of a key.
 CELL = 1 << 20
 
 
@@ -214,28 +219,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ids, "fp").select("doc_id", hexed, F.col("first").alias("component_id"))
 
 
-def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """BANDS keys for each of the sets hashes[starts[k] : starts[k + 1]], none of them empty: a key stands for ROWS least values."""
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """FINGERPRINTS fingerprints of WIDE bits for each set of shingle hashes: a bit is set if more than half of the set's mixed hashes have it."""
     draw = np.random.default_rng(42)
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), band + 1, np.uint64)
-        for _ in range(ROWS):
-            add, factor = (draw.integers(0, 1 << 64, dtype=np.uint64) for _ in range(2))
-            x = (hashes ^ add) * (factor | np.uint64(1))
+    add, factor = (draw.integers(0, 1 << 64, FINGERPRINTS, dtype=np.uint64) for _ in range(2))
+    out = np.zeros((len(sets), FINGERPRINTS), np.uint64)
+    for k, hashes in enumerate(sets):
+        votes = np.zeros(64 * FINGERPRINTS, np.int64)
+        for at in range(0, len(hashes), 255):
+            x = (hashes[at : at + 255, None] ^ add) * (factor | np.uint64(1))
             x ^= x >> np.uint64(32)
-            key = (key ^ np.minimum.reduceat(x, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out[:, band] = key
-    return out
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+            votes += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        out[k] = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
+    return out & np.uint64((1 << WIDE) - 1)
 
 
 def _sets(raws: list[bytes], width: int, seed: int) -> list[np.ndarray]:
     return [np.unique(np.array(shingle_hashes(raw, width, seed), np.uint64)) for raw in raws]
 
 
-def _banded(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
-    """(row, doc, digest, size, bands): docs' rows as they are, numbered, and of each text's set of shingles a digest, its size and its keys."""
+def _printed(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
+    """(row, doc, digest, size, fps): docs' rows as they are, numbered, and of each text's set of shingles a digest, its size and its fingerprints."""
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
     at, kind = docs.columns.index(text_col), src.schema["doc"]
 
@@ -243,14 +249,128 @@ def _banded(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
         for batch in slices(batches, "doc", most_bytes=1 << 20):
             sets = _sets(utf8(batch.column("doc").flatten()[at].cast(pa.string())), width, seed)
             sizes = np.array([len(s) for s in sets], np.int64)
-            some = sizes[sizes > 0]
-            keys = _bands(np.concatenate(sets), np.cumsum(some) - some) if len(some) else np.empty((0, BANDS), np.uint64)
-            offsets = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+            offsets = np.concatenate([[0], np.cumsum((sizes > 0) * FINGERPRINTS)]).astype(np.int32)
+            fps = pa.ListArray.from_arrays(pa.array(offsets), pa.array(wide_fingerprints(sets)[sizes > 0].ravel().view(np.int64)))
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), digest, pa.array(sizes), bands], names=["row", "doc", "digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), digest, pa.array(sizes), fps], names=["row", "doc", "digest", "size", "fps"])
+
+    return mapped(src, run, StructType([StructField("row", LongType()), kind, StructField("digest", BinaryType()), StructField("size", LongType()), StructField("fps", ArrayType(LongType()))]))
+
+
+def _halved(sets: DataFrame) -> DataFrame:
+    """(key, cell, node, fp, more): each set under each half of its fingerprints' segments, with that fingerprint and the next.
+
+    key: the half's number and its bits. Keys of more than HALF_BLOCK members are dealt to cells, one for each pair of blocks.
+    """
+    filed = sets.where("size > 0").select("node", "fps", F.explode(F.sequence(F.lit(0), F.lit(6 * FINGERPRINTS - 1))).alias("p"))
+    filed = filed.select("node", "p", F.expr("fps[p div 6]").alias("fp"), F.expr(f"fps[(p div 6 + 1) % {FINGERPRINTS}]").alias("more"))
+    filed = filed.select(F.expr(f"shiftleft(p, {HALF}) + cast(shiftright(fp, {HALF} * (p % 6)) & {(1 << HALF) - 1} AS int)").alias("key"), "node", "fp", "more")
+    crowded = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HALF_BLOCK), "crowded")
+    usual = filed.select("key", F.lit(0).alias("cell"), "node", "fp", "more")
+    if crowded.isEmpty():
+        return usual
+    blocks = F.ceil(F.col("n") / F.lit(HALF_BLOCK)).cast("int")
+    dealt = filed.join(F.broadcast(crowded), "key").withColumns({"n": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda b: F.least("own", b) * F.col("n") + F.greatest("own", b) + 1)
+    dealt = dealt.select("key", F.explode(cells).alias("cell"), "node", "fp", "more")
+    return usual.join(F.broadcast(crowded.select("key")), "key", "left_anti").union(dealt)
+
 
-    return mapped(src, run, StructType([StructField("row", LongType()), kind, StructField("digest", BinaryType()), StructField("size", LongType()), StructField("bands", ArrayType(LongType()))]))
+def _groups(fp: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
+    """Members that pairs of near fingerprints connect, in groups of two or more."""
+    out, left = [], np.arange(len(fp))
+    while len(left) > 1:
+        todo, left, group = [int(left[0])], left[1:], [int(left[0])]
+        while todo and len(left):
+            part, todo = todo[:64], todo[64:]
+            near = np.bitwise_count(fp[part][:, None] ^ fp[left]) + np.bitwise_count(more[part][:, None] ^ more[left]) <= NEAR
+            met = near.any(axis=0)
+            todo += left[met].tolist()
+            group += left[met].tolist()
+            left = left[~met]
+        if len(group) > 1:
+            out.append(np.array(group))
+    return out
+
+
+def meetings(key: np.ndarray, cell: np.ndarray, node: np.ndarray, fp: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, a, b): pairs a < b whose fingerprints are near and meet in a segment with one bit wiped, group 0.
+
+    Rows of a key and cell agree in one half of a segment; their other halves are met here with each bit wiped in turn, or
+    whole, if the first half is the one that agrees. Where more than CROWD pairs are near, groups of near members come
+    instead: each has a number other than 0, a is its smallest member and b each of its members.
+    """
+    half = key >> HALF
+    other = (fp.view(np.int64) >> (HALF * ((half % 6) ^ 1))) & ((1 << HALF) - 1)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
+    place = (np.cumsum(new) << HALF) | other
+    order = np.argsort(place, kind="stable")
+    node, fp, more = node[order], fp[order], more[order]
+    value, start, count = np.unique(place[order], return_index=True, return_counts=True)
+    whole = np.flatnonzero((half[order][start] % 2 == 0) & (count > 1))
+    left, right = [whole], [whole]
+    for bit in range(HALF):
+        unset = np.flatnonzero((value >> bit) & 1 == 0)
+        at = np.minimum(np.searchsorted(value, value[unset] | (1 << bit)), len(value) - 1)
+        same = value[at] == value[unset] | (1 << bit)
+        left.append(unset[same])
+        right.append(at[same])
+    left, right = np.concatenate(left), np.concatenate(right)
+    n, m = count[left], count[right]
+    total = n * m
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    crowds = np.flatnonzero(total > PAIRS).tolist()
+    usual = np.flatnonzero(total <= PAIRS)
+    ends = np.cumsum(total[usual])
+    at = 0
+    while at < len(usual):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        part, at = usual[at:to], to
+        of = np.repeat(np.arange(len(part)), total[part])
+        off = np.arange(len(of)) - np.repeat(np.cumsum(total[part]) - total[part], total[part])
+        i, j = start[left[part]][of] + off // m[part][of], start[right[part]][of] + off % m[part][of]
+        near = (np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]) <= NEAR) & (i != j)
+        many = np.bincount(of[near], minlength=len(part)) > CROWD
+        crowds += part[many].tolist()
+        near &= ~many[of]
+        a, b = node[i[near]], node[j[near]]
+        found.append((np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b)))
+    for k in crowds:
+        own = [np.arange(start[s], start[s] + count[s]) for s in {int(left[k]), int(right[k])}]
+        rows = np.concatenate(own)
+        for group in _groups(fp[rows], more[rows]):
+            b = np.sort(node[rows[group]])
+            name = np.int64(xxhash.xxh64_intdigest(b.tobytes()) >> 1 | 1)
+            found.append((np.full(len(b), name), np.full(len(b), b[0]), b))
+    columns = [np.concatenate([f[c] for f in found] or [np.empty(0, np.int64)]) for c in range(3)]
+    rows = np.unique(np.stack(columns, axis=1), axis=0)
+    return rows[:, 0], rows[:, 1], rows[:, 2]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and cell; those of the last one wait until it is whole and there is enough to do."""
+    waiting: list[pa.RecordBatch] = []
+    held, last = 0, None
+
+    def met(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, cell, node, fp, more = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("key", "cell", "node", "fp", "more"))
+        out = meetings(key.astype(np.int64), cell, node, fp.view(np.uint64), more.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=["key", "a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
+        breaks = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+        at = 0 if last is not None and last != (key[0], cell[0]) else int(breaks[0]) if len(breaks) and held >= 1 << 16 else None
+        if at is not None and held >= 1 << 16:
+            yield met([*waiting, batch.slice(0, at)])
+            waiting, held, batch = [], 0, batch.slice(at)
+        waiting.append(batch)
+        held += batch.num_rows
+        last = (key[-1], cell[-1])
+    if waiting:
+        yield met(waiting)
 
 
 def _verified(width: int, seed: int, least: float):
@@ -361,32 +481,41 @@ def _dealt(tagged: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
     """The rows of docs without those that have a near copy before them (by id, then by place): one row of each class.
 
-    Near copies are texts whose sets of shingles have a Jaccard similarity of least or more, and what these connect; a
-    fingerprint of 64 bits cannot tell 0.8 from less. Texts with equal sets collapse first. Candidates meet in one of BANDS
-    keys, each of ROWS least hashes: a pair at 0.8 meets but for a chance of 3 in a million, and a closer one more surely.
-    Each key's members are held against its first member, text by text. Keys whose members are then still in more than one
-    class are gone through in cells of bounded size, where members of different classes are compared and linked, so that
-    no link is lost and no group of near copies is expanded into its pairs.
+    Near copies are texts whose sets of shingles have a Jaccard similarity of least or more, and what these connect. Texts
+    with equal sets collapse first. The method is the one above, made wide enough for that similarity, at which a bit of a
+    fingerprint differs with a chance of 0.151: each set has FINGERPRINTS fingerprints of three segments of 18 bits, and two
+    sets meet where a segment agrees but for one wiped bit at most. A pair at 0.8 meets in none of them with a chance of 2
+    in a million, and a closer one more surely. As the wiped bit is in one half of the segment, the other half is equal:
+    sets are dealt by halves, and the variants are made where they arrive. Of those that meet, whole fingerprints decide
+    who is compared, and the exact similarity of the texts who is linked. Crowds of near members are first held against
+    their first one; where they are then still in several classes, members of different classes are compared and linked in
+    cells of bounded size, so that no link is lost and no group of near copies is expanded into its pairs.
 
     Defined cases: null and empty texts are copies of each other; a null id comes last; repeated rows are copies; of equal
     ids the row read first stays; an empty table gives an empty result; all columns are kept, whatever their names.
     """
-    placed = materialize(_banded(docs, text_col, width, seed), "placed")
+    placed = materialize(_printed(docs, text_col, width, seed), "placed")
     order = F.struct(F.col("doc").getField(id_col).isNull().alias("none"), F.col("doc").getField(id_col).alias("id"), "row")
-    sets = placed.groupBy("digest").agg(F.min(order).alias("own"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    sets = materialize(sets.select("own", F.col("own.row").alias("node"), "size", "bands"), "sets")
-    filed = sets.select("node", "size", F.explode("bands").alias("key"))
-    shared = filed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    met = materialize(filed.join(shared, "key").select("key", "node", "size", F.col("lead.node").alias("a"), F.col("lead.size").alias("size_a")), "met")
-    fits = (F.col("a") < F.col("node")) & (F.least("size_a", "size") >= F.lit(least) * F.greatest("size_a", "size"))
-    pairs = materialize(met.where(fits).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    sets = placed.groupBy("digest").agg(F.min(order).alias("own"), F.first("size").alias("size"), F.first("fps").alias("fps"))
+    sets = materialize(sets.select("own", F.col("own.row").alias("node"), "size", "fps"), "sets")
+    halved = _halved(sets).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    met = materialize(mapped(halved, _met, "key bigint, a bigint, b bigint").distinct(), "met")
+    pairs = met.where("a < b").select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("fps").alias(f"fps_{side}")), side)
+    apart = F.expr("aggregate(zip_with(fps_a, fps_b, (x, y) -> bit_count(x ^ y)), 0, (n, d) -> n + d)")
+    fits = (F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b")) & (apart <= NEAR_ALL)
+    pairs = materialize(pairs.where(fits).select("a", "b"), "pairs")
+    crowds = met.where("key <> 0").select("key", F.col("b").alias("node"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
     texts = placed.select(F.col("row").alias("node"), F.col("doc").getField(text_col).cast("string").alias("text"))
-    texts = materialize(texts.join(met.select("node").distinct(), "node", "left_semi"), "near")
+    texts = materialize(texts.join(nodes, "node", "left_semi"), "near")
     told = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
     links = materialize(mapped(told.select("a", "b", "one", "two"), _verified(width, seed, least), "a bigint, b bigint"), "links")
     labels = connected(links)
     label = F.xxhash64("node").alias("label")
-    tagged = met.select("key", "node", "size", label) if labels is None else met.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", F.xxhash64("node")).alias("label"))
+    crowds = crowds.join(sets.select("node", "size"), "node")
+    tagged = crowds.select("key", "node", "size", label) if labels is None else crowds.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", F.xxhash64("node")).alias("label"))
     tagged = materialize(tagged, "tagged")
     cells = materialize(_dealt(tagged), "cells")
     if not cells.isEmpty():
