@@ -5,11 +5,13 @@ import gzip
 import hashlib
 import io
 import itertools
+import os
 import random
 import re
 import struct
 import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilstream.llm import bpe, decontam, html_extract, langid, license_scan, line_dedup, lm_ppm, media, registry, simhash, url_gbt
+from veilstream.llm import bpe, common, decontam, html_extract, langid, license_scan, line_dedup, lm_ppm, media, registry, simhash, url_gbt
 from veilstream.llm.common import crc_remainder
 
 SF = "/root/testdata/sf0.001"
@@ -851,3 +853,26 @@ def test_pipeline_against_plain_steps(spark, texts):
 def test_split_is_by_crc32(spark):
     df = spark.createDataFrame([(k,) for k in range(50)] + [(None,)], "doc_id bigint")
     assert [r[0] for r in df.select(crc_remainder(F.col("doc_id"), 7)).collect()] == [zlib.crc32(str(k).encode()) % 7 for k in range(50)] + [0]
+
+
+def test_workers_give_memory_back():
+    """What a stage has freed must not stay with its Python workers, whose memory would add to the next stage's."""
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    pins = []
+
+    def run(batches):
+        held = [b"x" * 100_000 for _ in range(3000)]
+        pins.append(b"x" * 100_000)  # above the freed ones, which keeps them from going back by themselves
+        yield len(held)
+
+    before = resident()
+    assert list(common.returning(run)([])) == [3000]
+    assert resident() - before < 100
+
+
+def test_clean_sends_a_text_once(spark):
+    """The text goes to the Python workers within its row, not in a column beside it as well."""
+    docs = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("i", "other words")], "item_id string, text string")
+    sent = decontam.clean(docs, items)._jdf.queryExecution().analyzed().children().head().output()
+    assert [sent.apply(k).name() for k in range(sent.size())] == ["doc"]

@@ -157,20 +157,23 @@ def _hits(shared) -> Callable[[list[bytes]], list[list[Hit]]]:
     return run
 
 
-def with_hits(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, finish: Callable[[pa.RecordBatch, list[bytes], list[list[Hit]]], pa.RecordBatch], schema, block_bytes: int = 2 << 20) -> DataFrame:
-    """finish(batch, texts, hits) of every batch of docs (doc, text)."""
+def with_hits(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, finish: Callable[[pa.RecordBatch, list[bytes], list[list[Hit]]], pa.RecordBatch], schema, block_bytes: int = 2 << 20, field: str | None = None) -> DataFrame:
+    """finish(batch, texts, hits) of every batch of docs (doc, text), or of docs (doc) whose field of that name is the text."""
     spark = docs.sparkSession
     blocks = (spark.sparkContext.broadcast(parts) for parts in item_blocks(items, item_id, item_text, block_bytes))
     first = list(itertools.islice(blocks, 2))
     if len(first) < 2:
         search = _hits(first[0]) if first else lambda raws: [[] for _ in raws]
+        at = None if field is None else docs.schema["doc"].dataType.names.index(field)
 
         def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                raws = utf8(batch.column("text"))
+            for batch in slices(batches, "text" if at is None else "doc"):
+                raws = utf8(batch.column("text") if at is None else batch.column("doc").flatten()[at].cast(pa.string()))
                 yield finish(batch, raws, search(raws))
 
         return mapped(docs, at_once, schema)
+    if field is not None:
+        docs = docs.withColumn("text", F.col("doc").getField(field).cast("string"))
     keyed = docs.withColumn("key", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.octet_length("text").alias("n")))
     kind = keyed.schema["key"].dataType.simpleString()
     found = []
@@ -240,7 +243,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
 
     The columns of docs stay as they are but for the text of a cut row, and n_chars, if docs has it, which counts it anew.
     """
-    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    packed = docs.select(F.struct("*").alias("doc"))
     names = docs.columns
 
     def finish(batch: pa.RecordBatch, raws: list[bytes], hits: list[list[Hit]]) -> pa.RecordBatch:
@@ -248,7 +251,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
         columns = dict(zip(names, batch.column("doc").flatten(), strict=True))
         touched = {k for k, row in enumerate(hits) if row and keep[k]}
         if touched:
-            texts = batch.column("text").to_pylist()
+            texts = columns[text_col].cast(pa.string()).to_pylist()
             for k in touched:
                 at, parts = 0, []
                 for a, b in original_offsets(raws[k], merged([(a, b) for a, b, _ in hits[k]])):
@@ -261,4 +264,4 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
                 columns["n_chars"] = pa.array([len(t) if k in touched else n for k, (t, n) in enumerate(zip(texts, counts, strict=True))], columns["n_chars"].type)
         return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
-    return with_hits(packed, items, item_id, item_text, finish, docs.schema, block_bytes)
+    return with_hits(packed, items, item_id, item_text, finish, docs.schema, block_bytes, text_col)
