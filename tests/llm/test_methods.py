@@ -366,6 +366,78 @@ def test_no_near_copy_is_missed(spark, monkeypatch, crowd):
     assert {2 * k for k in range(300)} <= ids and len(ids) == 600 - near
 
 
+def family(count, rng, words=60, changed=12):
+    """Texts that are near one another and mostly no copies: one text with other words at random places; some are copies of another of them but for a word."""
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for k in range(count):
+        if k % 40 == 39:
+            text = texts[-1].split()
+            text[-1] = f"end{k}"
+        else:
+            text = list(base)
+            for at in rng.sample(range(0, words, 2), changed // 4):
+                text[at] = f"n{k}x{at}"
+        texts.append(" ".join(text))
+    return texts
+
+
+def test_near_families_are_not_listed_by_pairs(spark, monkeypatch):
+    """Rows that are joined for a group of near texts grow with its size, not with the square."""
+    made, write = {}, simhash.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        if tag == "met":
+            made[count] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    for count in (60, 240):
+        simhash.keep_first(spark.createDataFrame(list(enumerate(family(count, random.Random(2)))), "doc_id bigint, text string"))
+    assert made[240] <= 6 * made[60] and made[240] <= 4 * 240
+
+
+def test_pairs_of_many_places_are_gathered(spark):
+    """What only all places' pairs together make dense comes as one group, with groups of a place in it; the rest stays as it is."""
+    full = [(0, a, b) for a, b in itertools.combinations(range(10, 30), 2)]
+    rest = [(0, 1, 2), (0, 2, 3), (0, 40, 41), (51, 50, 50), (51, 50, 52), (51, 50, 53)]
+    met = spark.createDataFrame([*full, *rest, (30, 29, 29), (30, 29, 31)], "key bigint, a bigint, b bigint")
+    sets = spark.createDataFrame([(k, 20) for k in range(60)], "node bigint, size bigint")
+    got = [tuple(r) for r in simhash.gathered(met, sets).collect()]
+    assert sorted(got) == sorted([*rest, *((11, 10, b) for b in (*range(10, 30), 31))])
+    few = spark.createDataFrame(rest, "key bigint, a bigint, b bigint")
+    assert sorted(tuple(r) for r in simhash.gathered(few, sets).collect()) == sorted(rest)
+
+
+def test_near_families_keep_their_links(spark):
+    """Within a group of near texts, those of at least 0.8 link and no others do."""
+    texts = dict(enumerate(family(240, random.Random(2))))
+    want = plain_keep_first(texts)
+    assert len(want) <= 240 - 6
+    kept = simhash.keep_first(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
+def test_groups_of_a_batch():
+    """Pairs in a ring of more than LISTED come as a group by its smallest member; branches, small rings and other groups stay as they are."""
+    full = list(itertools.combinations(range(10, 22), 2))  # 66 pairs
+    rest = [(1, 2), (2, 3), (3, 10), (5, 6), (6, 7), (5, 7)]
+    group = [(51, 50, b) for b in (50, 52, 53)]
+    rows = np.array([(0, a, b) for a, b in full + rest] + group)
+    got = set(zip(*(c.tolist() for c in simhash.grouped(*rows.T))))
+    assert got == {(11, 10, b) for b in range(10, 22)} | {(0, a, b) for a, b in rest} | set(group)
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 400, (2, 300))
+    label = {x: x for x in {*a.tolist(), *b.tolist()}}
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist()):
+            label[x] = label[y] = min(label[x], label[y])
+    nodes, first = simhash.smallest_connected(a, b)
+    assert dict(zip(nodes.tolist(), nodes[first].tolist())) == label
+    assert all(len(c) == 0 for c in simhash.grouped(*np.empty((3, 0), np.int64)))
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_dense_groups_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)

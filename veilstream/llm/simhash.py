@@ -42,8 +42,10 @@ FINGERPRINTS, WIDE, HALF = 18, 54, 9
 NEAR, NEAR_ALL = 28, FINGERPRINTS * WIDE // 4
 #: Members of a half that a task holds; pairs compared at once; near pairs of a key that are listed one by one.
 HALF_BLOCK, PAIRS, CROWD = 1 << 17, 1 << 19, 256
-#: Shingles that a task holds of a side of a key.
-CELL = 1 << 20
+#: Near pairs that a batch lists of sets that they connect in rings; pairs a member that are listed of sets that all batches' pairs connect.
+LISTED, SPARSE = 32, 4
+#: Shingles that a task holds of a side of a key; pairs of sets that a task connects at once.
+CELL, EDGES = 1 << 20, 1 << 20
 
 
 def shingle_hashes(raw: bytes, width: int, seed: int) -> list[int]:
@@ -293,12 +295,54 @@ def _groups(fp: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def smallest_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, first): the nodes of the pairs, in order, and the place in nodes of the smallest one that each is connected with."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = place[: len(a)], place[len(a) :]
+    first = np.arange(len(nodes))
+    while True:
+        low = np.minimum(first[one], first[two])
+        if (first[one] == first[two]).all():
+            return nodes, first
+        for side in (one, two):
+            np.minimum.at(first, first[side], low)
+        first = first[first]
+
+
+def _ringed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs are left when pairs of a node without another one are taken away again and again (of longer branches an end stays)."""
+    left = np.arange(len(a))
+    for _ in range(64):
+        _, place, count = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True, return_counts=True)
+        stay = (count[place] > 1).reshape(2, -1).all(axis=0)
+        if stay.all():
+            break
+        left = left[stay]
+    return left
+
+
+def grouped(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, a, b), where sets that more than LISTED pairs connect in rings come as a group: of m of them m rows, not up to m * m / 2."""
+    plain = np.flatnonzero(group == 0)
+    ringed = plain[_ringed(a[plain], b[plain])]
+    nodes, first = smallest_connected(a[ringed], b[ringed])
+    of = first[np.searchsorted(nodes, a[ringed])]
+    many = np.bincount(of, minlength=len(nodes)) > LISTED
+    stay = np.ones(len(a), bool)
+    stay[ringed[many[of]]] = False
+    member = many[first]
+    least = nodes[first[member]]
+    rows = [np.concatenate([x[stay], y]) for x, y in ((group, least + 1), (a, least), (b, nodes[member]))]
+    rows = np.unique(np.stack(rows, axis=1), axis=0)
+    return rows[:, 0], rows[:, 1], rows[:, 2]
+
+
 def meetings(key: np.ndarray, cell: np.ndarray, node: np.ndarray, fp: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, a, b): pairs a < b whose fingerprints are near and meet in a segment with one bit wiped, group 0.
 
     Rows of a key and cell agree in one half of a segment; their other halves are met here with each bit wiped in turn, or
-    whole, if the first half is the one that agrees. Where more than CROWD pairs are near, groups of near members come
-    instead: each has a number other than 0, a is its smallest member and b each of its members.
+    whole, if the first half is the one that agrees. Where more than CROWD pairs are near, or more than LISTED connect
+    members in rings, groups of near members come instead: a is the smallest member, b each member, and the group a + 1.
     """
     half = key >> HALF
     other = (fp.view(np.int64) >> (HALF * ((half % 6) ^ 1))) & ((1 << HALF) - 1)
@@ -340,11 +384,10 @@ def meetings(key: np.ndarray, cell: np.ndarray, node: np.ndarray, fp: np.ndarray
         rows = np.concatenate(own)
         for group in _groups(fp[rows], more[rows]):
             b = np.sort(node[rows[group]])
-            name = np.int64(xxhash.xxh64_intdigest(b.tobytes()) >> 1 | 1)
-            found.append((np.full(len(b), name), np.full(len(b), b[0]), b))
+            found.append((np.full(len(b), b[0] + 1), np.full(len(b), b[0]), b))
     columns = [np.concatenate([f[c] for f in found] or [np.empty(0, np.int64)]) for c in range(3)]
     rows = np.unique(np.stack(columns, axis=1), axis=0)
-    return rows[:, 0], rows[:, 1], rows[:, 2]
+    return grouped(rows[:, 0], rows[:, 1], rows[:, 2])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,6 +416,48 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met(waiting)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) that connect what the pairs of EDGES rows or a few more connect, fewer than their nodes."""
+    held: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        nodes, first = smallest_connected(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b")))
+        rest = first != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[first[rest]]), pa.array(nodes[rest])], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(h.num_rows for h in held) >= EDGES:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
+
+def gathered(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """met's rows (key, a, b), where sets that many pairs connect, met in whatever places, come as one group.
+
+    A group of m sets that are near but no copies meets in many places, with few pairs in each, and up to m * m / 2 in all.
+    Of connected sets, pairs stay if they are at most SPARSE times the members (times the blocks that the members'
+    shingles fill); otherwise the members are one key, of which everything is compared in cells.
+    """
+    labels = connected(mapped(met.select("a", "b"), _stars, "a bigint, b bigint"))
+    if labels is None:
+        return met
+    rows = met.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
+    members = materialize(labels.join(sets.select("node", "size"), "node").join(rows, "node", "left"), "members")
+    discard(labels)
+    plan = members.groupBy("label").agg(F.min("node").alias("first"), F.count("*").alias("m"), F.sum("n").alias("n"), F.ceil(F.sum("size") / F.lit(CELL)).alias("blocks"))
+    dense = members.select("node", "label").join(plan.where(F.col("n") > SPARSE * F.col("m") * F.col("blocks")).select("label", "first"), "label")
+    dense = materialize(dense.select((F.col("first") + 1).alias("key"), F.col("first").alias("a"), F.col("node").alias("b")), "dense")
+    discard(members)
+    rest = met.join(dense.select(F.col("b").alias("a")), "a", "left_anti").select("key", "a", "b")
+    out = materialize(rest.union(dense), "met")
+    discard(dense)
+    discard(met)
+    return out
+
+
 def _verified(width: int, seed: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (a, b, one, two) with the texts of a pair; those of the same a mostly follow each other."""
@@ -405,11 +490,15 @@ def cell_links(nodes: list[int], labels: list[int], sides: list[int], sets: list
     out, held = [], None
     for i in range(len(nodes)):
         at = (label[i], side[i] if two else 0)
-        if held is None or held[0] != at:  # whom members of this label and side are to be compared with
-            others = np.flatnonzero((label != label[i]) & (~two | (side != side[i])) & (sizes > 0))
-            flat = np.concatenate([words[ends[j] - sizes[j] : ends[j]] for j in others.tolist()]) if len(others) else words[:0]
-            held = (at, others, flat, np.cumsum(sizes[others]) - sizes[others])
-        _, others, flat, starts = held
+        behind = label[i + 1 :] != label[i]
+        if 2 * behind.sum() > len(behind) and sizes.all():  # all behind it, as they lie: those before it have been compared with it
+            others, flat, starts = np.arange(i + 1, len(nodes)), words[ends[i] :], ends[i:-1] - ends[i]
+        else:
+            if held is None or held[0] != at:  # whom members of this label and side are to be compared with
+                others = np.flatnonzero((label != label[i]) & (~two | (side != side[i])) & (sizes > 0))
+                flat = np.concatenate([words[ends[j] - sizes[j] : ends[j]] for j in others.tolist()]) if len(others) else words[:0]
+                held = (at, others, flat, np.cumsum(sizes[others]) - sizes[others])
+            _, others, flat, starts = held
         if not len(others) or not sizes[i]:
             continue
         own = words[ends[i] - sizes[i] : ends[i]]
@@ -487,9 +576,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets meet where a segment agrees but for one wiped bit at most. A pair at 0.8 meets in none of them with a chance of 2
     in a million, and a closer one more surely. As the wiped bit is in one half of the segment, the other half is equal:
     sets are dealt by halves, and the variants are made where they arrive. Of those that meet, whole fingerprints decide
-    who is compared, and the exact similarity of the texts who is linked. Crowds of near members are first held against
-    their first one; where they are then still in several classes, members of different classes are compared and linked in
-    cells of bounded size, so that no link is lost and no group of near copies is expanded into its pairs.
+    who is compared, and the exact similarity of the texts who is linked. Crowds of near members, in a place or by many
+    places together, are first held against their first one; where they are then still in several classes, members of
+    different classes are compared and linked in cells of bounded size, so that no link is lost and no group of near texts,
+    copies or not, is expanded into its pairs.
 
     Defined cases: null and empty texts are copies of each other; a null id comes last; repeated rows are copies; of equal
     ids the row read first stays; an empty table gives an empty result; all columns are kept, whatever their names.
@@ -499,7 +589,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = placed.groupBy("digest").agg(F.min(order).alias("own"), F.first("size").alias("size"), F.first("fps").alias("fps"))
     sets = materialize(sets.select("own", F.col("own.row").alias("node"), "size", "fps"), "sets")
     halved = _halved(sets).repartition("key", "cell").sortWithinPartitions("key", "cell")
-    met = materialize(mapped(halved, _met, "key bigint, a bigint, b bigint").distinct(), "met")
+    met = gathered(materialize(mapped(halved, _met, "key bigint, a bigint, b bigint").distinct(), "met"), sets)
     pairs = met.where("a < b").select("a", "b").distinct()
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("fps").alias(f"fps_{side}")), side)
