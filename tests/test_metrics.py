@@ -95,6 +95,44 @@ def test_nearest_in_cells(spark, monkeypatch, leaves, block):
             assert got[k] == pytest.approx(sorted(math.sqrt(sum((a - b) ** 2 for a, b in x) / len(x)) for x in both if x)[:5])
 
 
+def test_work_of_a_tuple_does_not_grow_with_the_originals(monkeypatch):
+    """Cells are cut as finely as asked, also where most values are equal, and in a cell few points are looked at."""
+    import numpy as np
+
+    from veilstream.metrics import privacy
+
+    rng, plain, seen = np.random.default_rng(2), privacy.distances, []
+    ties = np.stack([np.where(rng.random(4000) < 0.6, 9.0, rng.random(4000)), rng.random(4000)], axis=1)
+    cells = privacy.Cells(ties, 64)(ties)
+    assert len(np.unique(cells)) >= 32 and np.bincount(np.unique(cells, return_inverse=True)[1]).max() < 400
+    monkeypatch.setattr(privacy, "distances", lambda a, b: seen.append(len(a) * len(b)) or plain(a, b))
+    for n in (2000, 32_000):
+        points, numbers, rows = rng.random((n, 2)), rng.integers(1, 4, n), rng.random((200, 2))
+        seen.clear()
+        got = privacy.Boxes(points, numbers).nearest(rows, 10)
+        assert sum(seen) / 200 < 1200
+        every = np.repeat(points, numbers, axis=0)
+        assert np.allclose(got, [np.sort(np.sqrt(((every - r) ** 2).sum(axis=1) / 2))[:10] for r in rows])
+
+
+def test_cells_grow_with_the_originals(spark, monkeypatch):
+    """As many cells as points need, equal originals as one point; a prepared stream can be asked again."""
+    from veilstream.metrics import privacy
+
+    monkeypatch.setattr(privacy, "CELL_ROWS", 20)
+    rng = random.Random(6)
+    values = [(k, [rng.random(), rng.choice([None, rng.random()])]) for k in range(700)]
+    df = spark.createDataFrame(values * 3, "id bigint, v array<double>")
+    originals = privacy.Originals(df, 5)
+    assert len(originals.sizes) > 16 and sum(originals.sizes.values()) == 700
+    for part in ("id % 90 = 0", "id % 80 = 1"):
+        rows = originals.nearest(df.where(part).groupBy("v").count().withColumnRenamed("count", "n")).collect()
+        assert len(rows) > 5 and all(r["n"] == 3 for r in rows)
+        for r in rows:
+            both = [[(a, b) for a, b in zip(r["v"], w) if a is not None and b is not None] for _, w in values for _ in range(3)]
+            assert r["near"] == pytest.approx(sorted(math.sqrt(sum((a - b) ** 2 for a, b in x) / len(x)) for x in both)[:5])
+
+
 def test_cardinality():
     assert cardinality_factor(10, 10) == 1.0 and cardinality_factor(10, 5) == 0.5 == cardinality_factor(5, 10)
     assert cardinality_factor(0, 0) == 1.0 and cardinality_factor(0, 3) == 0.0 and cardinality_factor(3, 0) == 0.0
