@@ -63,6 +63,21 @@ def test_problem(spark):
         anonymization_problem(stream(spark, random_rows(3)), "unknown", {})
 
 
+def test_a_problem_files_its_originals_once(spark, monkeypatch):
+    """However many pipelines are scored, and with the score that each has by itself."""
+    from veilstream.metrics.privacy import privacy_score
+    from veilstream.operators.modifiers import run_pipeline
+    from veilstream.plans import problem as module
+
+    calls, plain = [], module.prepared
+    monkeypatch.setattr(module, "prepared", lambda *a: calls.append(a) or plain(*a))
+    problem = Problem(stream(spark, random_rows(80)), SPEC, k=5)
+    for value in (-1.0, 0.5):
+        pipeline = Pipeline((Filter("a", Condition.GT, value),))
+        assert problem.quality(pipeline)["privacy"] == pytest.approx(privacy_score(run_pipeline(problem.stream, pipeline), problem.stream, problem.attributes, k=5)) != 0.0
+    assert len(calls) == 1
+
+
 def test_experiment(spark, tmp_path):
     preset = Preset(SPEC, g.FILTERS, PrivacyMetric.MEAN, ("privacy", "results"), "", 3, (1,))
     solutions, traces = run_experiment(stream(spark, random_rows(60)), preset, str(tmp_path), k=5)
